@@ -119,13 +119,14 @@ class WordTokenizer:
         quick, slow, pieces, counts = [], [], [], []
         for k, w in enumerate(words, first):
             s = w.decode("utf-8", "replace")
-            if s.isalpha() and max(s) < "ɐ":
+            low = s.lower()
+            if low.isalpha() and max(low) < "ɐ":
                 quick.append(k)
-                pieces.append(s.lower())
+                pieces.append(low)
                 counts.append(1)
-            elif s.isprintable() and max(s) < "ɐ" and "<|" not in s:
+            elif low.isprintable() and max(low) < "ɐ" and "<|" not in s:
                 quick.append(k)
-                parts = self.split.findall(s.lower())
+                parts = self.split.findall(low)
                 pieces += parts
                 counts.append(len(parts))
             else:
