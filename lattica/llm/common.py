@@ -40,6 +40,17 @@ def id_hash_mod(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def unused(columns: list[str], *hints: str) -> list[str]:
+    """Names like ``hints`` that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for h in hints:
+        while h.lower() in taken:
+            h += "_"
+        taken.add(h.lower())
+        out.append(h)
+    return out
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -87,7 +87,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 4096)
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding).
 
     Rows link where their cosine in double precision is at least ``threshold``; vectors that are null, zero, empty or hold
-    null or non-finite components, and vectors of different lengths, link with nothing. A repeated row counts as another vector.
+    null or non-finite components, vectors of different lengths, and rows without a vec_id, link with nothing. A repeated row counts as another vector.
     component_id is the least vec_id reachable, ``kept`` marks that row.
     """
     spark = vectors.sparkSession
@@ -100,13 +100,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 4096)
         for batch in batches:
             column = batch.column("embedding")
             flat, ends = column.flatten(), np.diff(np.asarray(column.offsets))
-            there = np.asarray(column.is_valid())
+            there, named = np.asarray(column.is_valid()), np.asarray(batch.column("vec_id").is_valid())
             starts = np.concatenate([[0], np.cumsum(np.where(there, ends, 0))])
             values = flat.to_numpy(zero_copy_only=False).astype(dtype) + dtype.type(0)  # null: NaN; -0.0: 0.0
             raw = []
             for k in range(batch.num_rows):
                 x = values[starts[k] : starts[k + 1]]
-                good = there[k] and len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x.astype(np.float64)) < np.inf
+                good = there[k] and named[k] and len(x) and np.isfinite(x).all() and 0 < np.linalg.norm(x.astype(np.float64)) < np.inf
                 raw.append(x.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], ["vec_id", "raw"])
 

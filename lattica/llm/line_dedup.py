@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, slices, texts_of
+from lattica.llm.common import cut, slices, texts_of, unused
 
 Pairs = list[tuple[int, int]]
 NO_ID = -(1 << 63)
@@ -68,25 +68,35 @@ def patience(a: list, b: list) -> Pairs:
 
 
 def common_blocks(early: list[dict], late: list[dict], least_words: int) -> list[int]:
-    """Raw line numbers of ``late`` that lie in aligned blocks with at least ``least_words`` words."""
-    a, b = [x["hash"] for x in early], [x["hash"] for x in late]
-    both = set(a).intersection(b)
+    """Raw line numbers of ``late`` that lie in aligned blocks with at least ``least_words`` words.
+
+    One alignment holds blocks in the order of both documents; blocks that moved are found by aligning what is left again, until
+    an alignment deletes nothing.
+    """
+    both = {x["hash"] for x in early}.intersection(x["hash"] for x in late)
     if sum(x["words"] for x in late if x["hash"] in both) < least_words:
         return []
+    early, late = [x for x in early if x["hash"] in both], [x for x in late if x["hash"] in both]
     out: list[int] = []
-    run: list[int] = []
-    words, last = 0, (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        here = (early[i]["ord"], late[j]["ord"]) if i >= 0 else (-9, -9)
-        if here != (last[0] + 1, last[1] + 1):
-            if words >= least_words:
-                out += run
-            run, words = [], 0
-        if i >= 0:
-            run.append(late[j]["line"])
-            words += late[j]["words"]
-        last = here
-    return out
+    while late:
+        gone: set[int] = set()
+        run: list[int] = []
+        words, last = 0, (-2, -2)
+        for i, j in [*patience([x["hash"] for x in early], [x["hash"] for x in late]), (-9, -9)]:
+            here = (early[i]["ord"], late[j]["ord"]) if i >= 0 else (-9, -9)
+            if here != (last[0] + 1, last[1] + 1):
+                if words >= least_words:
+                    gone.update(run)
+                run, words = [], 0
+            if i >= 0:
+                run.append(j)
+                words += late[j]["words"]
+            last = here
+        if not gone:
+            break
+        out += [late[j]["line"] for j in gone]
+        late = [x for j, x in enumerate(late) if j not in gone]
+    return sorted(out)
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -147,11 +157,12 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) -
     one. Lines are compared without surrounding white space. Columns of the two names in ``docs`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_version"))
-    gone = cut(deletions(keyed.select(F.col("_id").alias("id"), F.col("_version").alias("version"), "text"), least_words, anchor_words))
-    gone = gone.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("gone").alias("_gone")).hint("shuffle_hash")
-    joined = keyed.join(gone, ["_id", "_version"], "left").withColumn("_lines", F.split("text", "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda k: F.col("_lines")[k])
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines")
-    return joined.select(*[text if c == "text" else c for c in kept], n_lines, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))
+    id_, version, gone_, lines_ = unused(docs.columns, "_id", "_version", "_gone", "_lines")
+    keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(id_), F.xxhash64("text").alias(version))
+    gone = cut(deletions(keyed.select(F.col(id_).alias("id"), F.col(version).alias("version"), "text"), least_words, anchor_words))
+    gone = gone.select(F.col("id").alias(id_), F.col("version").alias(version), F.col("gone").alias(gone_)).hint("shuffle_hash")
+    joined = keyed.join(gone, [id_, version], "left").withColumn(lines_, F.split("text", "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone_)), lambda k: F.col(lines_)[k])
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
+    n_lines = F.coalesce(F.size(lines_), F.lit(0)).alias("n_lines")
+    return joined.select(*[text if c == "text" else c for c in kept], n_lines, F.coalesce(F.size(gone_), F.lit(0)).alias("n_deleted"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, cut
+from lattica.llm.common import WORD, cut, unused
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -55,17 +55,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed
     empty table gives an empty one. Columns of those four names in ``docs`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    source, rate_ = unused([*docs.columns, *kept], "_source", "_rate")
     sized = docs.select(*kept, word_count(F.col("text")).alias("size"))
-    sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)).withColumnRenamed("source", "_source")
+    sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)).withColumnRenamed("source", source)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rate", rate)
-    copies = F.floor("_rate") + F.when(uniform(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).drop("_rate")
+    joined = sized.join(sources, F.col("source").eqNullSafe(F.col(source))).drop(source).withColumn(rate_, rate)
+    copies = F.floor(rate_) + F.when(uniform(F.col("doc_id"), seed) < F.col(rate_) - F.floor(rate_), 1).otherwise(0)
+    return joined.withColumn("copies", copies.cast("long")).drop(rate_)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row of a mix as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    (copy,) = unused(mixed.columns, "_copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(copy)
 
 
 MIX_SQL = r"""

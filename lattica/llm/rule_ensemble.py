@@ -50,17 +50,17 @@ def statistics(text: bytes) -> list[float]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs without ``text``, plus the statistics of the text as columns _s0, _s1, ... Null text: as empty."""
-    kept = [c for c in docs.columns if c != "text"]
+    """docs without ``text``, plus the statistics of the text as columns _stat_0, _stat_1, ...; such columns in ``docs`` are dropped Null text: as empty."""
+    kept = [c for c in docs.columns if c != "text" and not c.startswith("_stat_")]
     schema = docs.select(*kept).schema
     for k in range(len(STATS)):
-        schema = schema.add(f"_s{k}", "double")
+        schema = schema.add(f"_stat_{k}", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 values = np.array([statistics(t) for t in texts_of(batch.column("text"))], dtype=np.float64).reshape(-1, len(STATS))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v) for v in values.T)], [*kept, *(f"_s{k}" for k in range(len(STATS)))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v) for v in values.T)], [*kept, *(f"_stat_{k}" for k in range(len(STATS)))])
 
     return docs.select(*kept, "text").mapInArrow(run, schema)
 
@@ -176,6 +176,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs without text, plus ``score``. Null and empty texts score by zero statistics. ``score`` in docs is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "text")]
+    kept = [c for c in docs.columns if c not in ("score", "text") and not c.startswith("_stat_")]
     rows = measured(docs.select(*kept, "text"))
-    return rows.select(*kept, model.column([F.col(f"_s{k}") for k in range(len(STATS))]).alias("score"))
+    return rows.select(*kept, model.column([F.col(f"_stat_{k}") for k in range(len(STATS))]).alias("score"))

@@ -33,6 +33,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     mixed = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     place = np.arange(len(raw)) - np.repeat(end - size, size)
     powers = (mixed ^ (mixed >> np.uint64(29))) * (np.uint64(2) * place.astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9))
+    powers[end - 1] = powers[end - 2] = 0  # these reach into the next word
     whole = np.add.reduceat(powers, end - size) * np.uint64(0x94D049BB133111EB)
     bucket = (mixed >> np.uint64(64 - 15)).astype(np.int64) % (BUCKETS // 2)
     bucket[end - 1] = BUCKETS // 2 + (whole >> np.uint64(64 - 15)).astype(np.int64) % (BUCKETS // 2)

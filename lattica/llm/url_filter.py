@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, unused
 
 #: Host rules (fixed by the query's contract): (rule as host and path, verdict).
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -86,6 +86,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = HOST_RULES, lab
     matched once per distinct URL. Columns of those five names in ``pages`` are replaced.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "by")]
+    (mined_,) = unused(pages.columns, "_mined")
     host, path = host_and_path(F.col("url"))
     verdict_of = F.create_map(*[F.lit(x) for r, v in rules for x in (r, v)])
     based = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn("rule", host_rule(F.col("host"), F.col("path"), rules))
@@ -96,11 +97,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = HOST_RULES, lab
         labelled = labels.select("url", "label").join(distinct.select("url", "tokens"), "url")
     mined = mine(labelled, support, confidence) if labelled.limit(1).count() else None
     if mined is None:
-        decided = distinct.select("url", F.lit(None).cast("string").alias("_mined")).limit(0)
+        decided = distinct.select("url", F.lit(None).cast("string").alias(mined_)).limit(0)
     else:
         open_ = distinct.where(F.col("rule").isNull() & (F.col("host") != "")).select(F.col("url").alias("key"), "tokens")
-        decided = match(open_, mined).select(F.col("key").alias("url"), F.col("verdict").alias("_mined"))
+        decided = match(open_, mined).select(F.col("key").alias("url"), F.col("verdict").alias(mined_))
     whole = based.join(decided, "url", "left")
-    by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("_mined").isNotNull(), "mined").otherwise("default")
-    verdict = F.coalesce(F.element_at(verdict_of, F.col("rule")), F.col("_mined"), F.lit("allow"))
+    by = F.when(F.col("rule").isNotNull(), "rule").when(F.col(mined_).isNotNull(), "mined").otherwise("default")
+    verdict = F.coalesce(F.element_at(verdict_of, F.col("rule")), F.col(mined_), F.lit("allow"))
     return whole.select(*kept, "host", "path", "rule", verdict.alias("verdict"), by.alias("by"))
