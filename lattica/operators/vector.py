@@ -22,8 +22,8 @@ def distance(vector: Column, query: list[float], metric: str = "cosine") -> Colu
     if metric == "l2":
         return F.sqrt(fold(F.zip_with(v, q, lambda a, b: (a - b) * (a - b))))
     norm = F.sqrt(fold(F.transform(v, lambda a: a * a))) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5)
-    similar = F.least(F.greatest(dot / F.nullif(norm, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))
-    return F.greatest(F.lit(1.0) - F.coalesce(similar, F.lit(0.0)), F.lit(0.0))
+    similar = F.when(norm > 0, F.least(F.greatest(dot / norm, F.lit(-1.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(1.0) - similar, F.lit(0.0))
 
 
 def search(graph: PropertyGraph, label: str, prop: str, query: list[float], k: int) -> DataFrame:

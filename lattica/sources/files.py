@@ -86,8 +86,8 @@ def import_jsonl(spark: SparkSession, path: str, dedup_key: str | None = None) -
                 kept.append(t)
                 continue
             clean = F.lower(F.trim(F.col(f"`{dedup_key}`").cast("string")))
-            least = t.df.where(clean.isNotNull()).groupBy(clean.alias("k")).agg(F.min(ID).alias("to"))
-            named = t.df.join(least, clean == F.col("k")).select(F.col(ID).alias("from"), "to")
+            least = t.df.where(clean.isNotNull()).groupBy(clean.alias("__key")).agg(F.min(ID).alias("to"))
+            named = t.df.join(least, clean == F.col("__key")).select(F.col(ID).alias("from"), "to")
             moved.append(named.where("`from` <> to"))
             kept.append(NodeTable(t.labels, t.df.join(moved[-1].select(F.col("from").alias(ID)), ID, "left_anti").select(t.df.columns)))
         if moved:
