@@ -329,18 +329,21 @@ class Lowerer:
         if path.kind:
             return self.shortest(frame, path, names, waiting)
         start = self.anchor(frame, path, waiting)
-        frame = self.place(frame, names[start], path.nodes[start])
-        frame, waiting = self.ready(frame, waiting)
+        order = [*range(start, len(path.rels)), *range(start - 1, -1, -1)]
         pieces: dict[int, Any] = {}
-        for k in [*range(start, len(path.rels)), *range(start - 1, -1, -1)]:
+        if order and names[start] not in frame.vars and path.nodes[start].props is None and path.rels[order[0]].span is None and rels[order[0]] not in frame.vars:
+            frame, waiting = self.first_hop(frame, path, names, rels, start, order.pop(0), waiting, used)
+        else:
+            frame = self.place(frame, names[start], path.nodes[start])
+        frame, waiting = self.ready(frame, waiting)
+        for k in order:
             forward = k >= start
             a, b = (k, k + 1) if forward else (k + 1, k)
             rel = path.rels[k]
-            direction = rel.direction if forward or rel.direction == "both" else {"out": "in", "in": "out"}[rel.direction]
             if rel.span is None:
-                frame = self.hop(frame, names[a], rel, rels[k], direction, names[b], path.nodes[b], path.nodes[a], used)
+                frame = self.hop(frame, names[a], rel, rels[k], self.turned(rel, forward), names[b], path.nodes[b], used)
             else:
-                frame, pieces[k] = self.reach(frame, names[a], rel, rels[k], direction, names[b], path.nodes[b], path.var is not None, forward)
+                frame, pieces[k] = self.reach(frame, names[a], rel, rels[k], self.turned(rel, forward), names[b], path.nodes[b], path.var is not None, forward)
             frame, waiting = self.ready(frame, waiting)
         if path.var:
             if path.var in frame.vars:
@@ -404,18 +407,53 @@ class Lowerer:
             frame = frame.having(frame.df.where(self.compiler(frame).compare("=", have, frame.probe(have), c, kind)))
         return frame
 
-    def hop(self, frame: Frame, a: str, rel: RelPat, rel_name: str, direction: str, b: str, pat: NodePat, from_pat: NodePat, used: list[Edge]) -> Frame:
+    @staticmethod
+    def turned(rel: RelPat, forward: bool) -> str:
+        return rel.direction if forward else {"out": "in", "in": "out", "both": "both"}[rel.direction]
+
+    def edge_rows(self, rel: RelPat, direction: str, known_a: frozenset, known_b: frozenset) -> tuple[Edge, DataFrame, str, str, list, set, set]:
+        """Relationships as rows: binding, rows, near and far column, tables, and the labels that either end may carry."""
+        tables = [t for t in self.graph.edge_tables(rel.types) if self._fits(t, direction, known_a, known_b)]
+        edge, df = self.edges_as((), tables) if tables else self.edges_as(("\0none",))
+        src, dst = {t.src_label for t in tables}, {t.dst_label for t in tables}
+        if direction != "both":
+            return (edge, df, edge.src, edge.dst, tables, src, dst) if direction == "out" else (edge, df, edge.dst, edge.src, tables, dst, src)
+        at, to = fresh("a"), fresh("b")
+        flip = df.where(F.col(edge.src) != F.col(edge.dst)).withColumn(at, F.col(edge.dst)).withColumn(to, F.col(edge.src))
+        return edge, df.withColumn(at, F.col(edge.src)).withColumn(to, F.col(edge.dst)).unionByName(flip), at, to, tables, src | dst, src | dst
+
+    def unique(self, frame: Frame, edge: Edge, rel: RelPat, tables: list, used: list) -> Frame:
+        """A relationship is used once within one MATCH."""
+        for other, types in used:
+            if not types or not rel.types or set(types) & set(rel.types):
+                same = F.col(other.id) == F.col(edge.id)
+                if len(tables) > 1 or not types or set(types) != set(rel.types):
+                    same = same & (F.col(other.type) == F.col(edge.type))
+                frame = frame.having(frame.df.where(~same))
+        used.append((edge, rel.types))
+        return frame
+
+    def first_hop(self, frame: Frame, path: Path, names: list[str], rels: list[str], start: int, k: int, waiting: list[Expr], used: list) -> tuple[Frame, list[Expr]]:
+        """Start from the relationships themselves: a node table joins only if something of it is read."""
+        forward = k >= start
+        a, b = (k, k + 1) if forward else (k + 1, k)
+        rel, pat_a, pat_b = path.rels[k], path.nodes[a], path.nodes[b]
+        edge, df, at, to, tables, ends_a, ends_b = self.edge_rows(rel, self.turned(rel, forward), frozenset(pat_a.labels), frozenset(pat_b.labels))
+        out = Frame(df, {rels[k]: edge}) if frame.single and not frame.vars else frame.having(frame.df.crossJoin(df), **{rels[k]: edge})
+        out = self.unique(self.inline(out, edge, rel.props), edge, rel, tables, used)
+        out = self.target(out, at, names[a], pat_a, ends_a)
+        if names[b] in out.vars:
+            out = self.as_node(out, names[b])
+            out = out.having(out.df.where(F.col(out.vars[names[b]].id) == F.col(to)))
+            return self.check(out, names[b], pat_b), waiting
+        out, waiting = self.ready(out, waiting)
+        return self.target(out, to, names[b], pat_b, ends_b), waiting
+
+    def hop(self, frame: Frame, a: str, rel: RelPat, rel_name: str, direction: str, b: str, pat: NodePat, used: list) -> Frame:
         """One relationship from the bound node a to b."""
         here = frame.vars[a]
-        tables = self.graph.edge_tables(rel.types)
-        known_a = here.known if isinstance(here, Node) else frozenset()
         known_b = frame.vars[b].known if b in frame.vars and isinstance(frame.vars[b], Node) else frozenset(pat.labels)
-        tables = [t for t in tables if self._fits(t, direction, known_a, known_b)]
-        edge, df = self.edges_as((), tables) if tables else self.edges_as(("\0none",))
-        at, to = (edge.src, edge.dst) if direction == "out" else (edge.dst, edge.src)
-        if direction == "both":
-            at, to = fresh("a"), fresh("b")
-            df = df.withColumn(at, F.col(edge.src)).withColumn(to, F.col(edge.dst)).unionByName(df.where(F.col(edge.src) != F.col(edge.dst)).withColumn(at, F.col(edge.dst)).withColumn(to, F.col(edge.src)))
+        edge, df, at, to, tables, _, ends = self.edge_rows(rel, direction, here.known if isinstance(here, Node) else frozenset(), known_b)
         on = F.col(here.id) == F.col(at)
         bound = b in frame.vars
         if bound:
@@ -426,17 +464,8 @@ class Lowerer:
             old_id = F.col(old.id) if isinstance(old, Edge) else F.col(old.col)[ID]
             on = on & (old_id == F.col(edge.id))
         frame = frame.having(frame.df.join(df, on), **{rel_name: edge})
-        frame = self.inline(frame, edge, rel.props)
-        for other, types in used:  # a relationship is used once within one MATCH
-            if not types or not rel.types or set(types) & set(rel.types):
-                same = F.col(other.id) == F.col(edge.id)
-                if len(tables) > 1 or not types or set(types) != set(rel.types):
-                    same = same & (F.col(other.type) == F.col(edge.type))
-                frame = frame.having(frame.df.where(~same))
-        used.append((edge, rel.types))
-        if bound:
-            return self.check(frame, b, pat)
-        return self.target(frame, to, b, pat, {t.dst_label if direction == "out" else t.src_label for t in tables} if direction != "both" else {x for t in tables for x in (t.src_label, t.dst_label)})
+        frame = self.unique(self.inline(frame, edge, rel.props), edge, rel, tables, used)
+        return self.check(frame, b, pat) if bound else self.target(frame, to, b, pat, ends)
 
     @staticmethod
     def _fits(t: Any, direction: str, known_a: frozenset, known_b: frozenset) -> bool:
@@ -451,12 +480,16 @@ class Lowerer:
         """Bind the node whose id stands in ``column``; its table is joined only for labels and properties that are read."""
         sure = len(ends) == 1 and None not in ends
         labels = list(pat.labels) or (list(ends) if sure else [])
-        enough = sure and set(pat.labels) <= ends and all(t.labels == frozenset(ends) for t in self.graph.node_tables(ends))
-        wanted = set(self.graph.props_of(labels)) & (self.keys if self.keys is not None else set(self.graph.props_of(labels)))
+        some = [t for t in self.graph.node_tables(pat.labels) if None in ends or t.labels & ends]
+        wanted = {p for t in some for p in t.props} if self.keys is None else {p for p in self.keys if any(p in t.props for t in some)} if self.keys else set()
+        enough = bool(ends) and None not in ends and all(t.labels & ends and set(pat.labels) <= t.labels for t in some) and all(any(t.labels == {e} for t in some) or not set(pat.labels) <= {e} for e in ends)
+        enough = enough and all(set(pat.labels) <= {e} for e in ends) and (sure or not self.want_labels)
         if enough and (not wanted or name.startswith("_anon")) and pat.props is None:
-            node = Node(column, None, {}, frozenset(ends))
+            node = Node(column, None, {}, frozenset(ends) if sure else frozenset())
             return frame.having(frame.df, **{name: node})
+        whole, self.graph = self.graph, self.graph.with_nodes(some)
         node, nodes = self.nodes_as(labels)
+        self.graph = whole
         frame = frame.having(frame.df.join(nodes, F.col(column) == F.col(node.id)), **{name: replace(node, known=frozenset(labels))})
         return self.inline(frame, node, pat.props)
 
