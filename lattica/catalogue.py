@@ -189,7 +189,7 @@ def _call(name: str, text: str, sql: str | None = None, least: int = 2) -> None:
 
 UND = "e AS (SELECT a, b FROM pairs WHERE w >= 2 UNION ALL SELECT b, a FROM pairs WHERE w >= 2)"
 _call("algo_wcc", "CALL algo.wcc('Part', 'WITH_PART') YIELD node, componentId RETURN node.p_partkey AS p, componentId AS c",
-      f"WITH RECURSIVE {PAIRS}, {UND}, r AS (SELECT p_partkey AS x, p_partkey AS c FROM part UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.x WHERE r.c < e.b AND r.c < 40) SELECT x AS p, min(c) AS c FROM r GROUP BY 1")
+      f"WITH RECURSIVE {PAIRS}, {UND}, r AS (SELECT p_partkey AS x, p_partkey AS c FROM part UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.x WHERE r.c < e.b) SELECT x AS p, min(c) AS c FROM r GROUP BY 1")
 _call("algo_triangles", "CALL algo.triangleCount() YIELD triangles RETURN triangles", f"WITH {PAIRS}, t AS (SELECT a, b FROM pairs WHERE w >= 2) SELECT count(*) AS triangles FROM t x JOIN t y ON x.b = y.a JOIN t z ON z.a = x.a AND z.b = y.b")
 _call("algo_lcc", "CALL algo.lcc() YIELD node, coefficient RETURN node.p_partkey AS p, round(coefficient, 6) AS c",
       f"WITH {PAIRS}, {UND}, d AS (SELECT a, count(*) AS d FROM e GROUP BY 1), t AS (SELECT x.a, count(*) AS n FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT p_partkey AS p, round(CASE WHEN d > 1 THEN 2 * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, 6)::DOUBLE AS c FROM part LEFT JOIN d ON d.a = p_partkey LEFT JOIN t ON t.a = p_partkey")
@@ -227,7 +227,7 @@ def _near(name: str, similarity: str, sql: str) -> None:
         return g.read("CALL db.index.vector.queryNodes('Vec', 'embedding', $q, 10) YIELD node, score RETURN node.vec_id AS v, round(score, 5) AS score", q=query)
 
     QUERIES[name] = run
-    SQL[name] = f"WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id AS v, {sql} AS s FROM embeddings, q ORDER BY s, v LIMIT 10) SELECT v, round(s, 5) AS score FROM d"
+    SQL[name] = f"WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id AS v, {sql} AS s FROM embeddings, q ORDER BY s, v LIMIT 10) SELECT v, round(s, 5) + 0.0 AS score FROM d"
 
 
 _near("knn_cosine", "cosine", "greatest(1 - list_cosine_similarity(embedding::DOUBLE[], q), 0)")
