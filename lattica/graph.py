@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,20 @@ class Graph:
         """Like ``cypher``, but a query that writes is refused."""
         return self._run(text, {**(params or {}), **more}, None)
 
+    def rows(self, text: str, params: dict[str, Any] | None = None, timeout: float | None = None) -> list[Any]:
+        """The collected rows of a read query; its jobs are cancelled after ``timeout`` seconds."""
+        group, context = f"cypher-{uuid.uuid4().hex}", self.spark.sparkContext
+        timer = threading.Timer(timeout, context.cancelJobGroup, [group]) if timeout else None
+        context.setJobGroup(group, text[:100], interruptOnCancel=True)
+        try:
+            if timer:
+                timer.start()
+            return self.read(text, params).collect()
+        finally:
+            if timer:
+                timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+
     def _run(self, text: str, params: dict[str, Any], writer: Any) -> DataFrame:
         query = parse(text)
         validate(query)

@@ -49,3 +49,14 @@ def chunks(df: DataFrame, column: str, size: int, overlap: int) -> DataFrame:
     step = max(1, size - overlap)
     starts = F.sequence(F.lit(0), F.greatest(F.char_length(column) - 1 - F.lit(overlap), F.lit(0)), F.lit(step))
     return df.withColumn("_s", F.explode(starts)).withColumns({"chunk": (F.col("_s") / step).cast("int"), "text": F.substring(F.col(column), F.col("_s") + 1, F.lit(size))}).drop("_s")
+
+
+def search_all(graph: PropertyGraph, query: list[float], k: int) -> DataFrame:
+    """(label, property, node, score): the k nearest over every index of the query's dimensions."""
+    found = [search(graph, label, prop, query, k).select(F.lit(label).alias("label"), F.lit(prop).alias("property"), "node", "score") for (label, prop), i in sorted(graph.meta.get("vectors", {}).items()) if i["dimensions"] == len(query)]
+    if not found:
+        return graph.spark.createDataFrame([], "label string, property string, node long, score double")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.orderBy("score", "label", "node").limit(int(k))

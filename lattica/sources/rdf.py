@@ -132,3 +132,30 @@ def read_turtle(spark: SparkSession, text: str) -> DataFrame:
         k += 1
     t = "struct<kind:string,value:string,lang:string,datatype:string>"
     return spark.createDataFrame(rows, f"s {t}, p {t}, o {t}, g string")
+
+
+def _by_subject(triples: DataFrame) -> DataFrame:
+    """(subject, pairs): the predicates and objects of each subject in a fixed order."""
+    pair = F.struct(written(F.col("p")).alias("p"), written(F.col("o")).alias("o"), F.col("p")["value"].alias("iri"), F.col("o").alias("term"))
+    return triples.groupBy(written(F.col("s")).alias("subject"), F.col("s").alias("s")).agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
+
+
+def write_turtle(triples: DataFrame, path: str) -> None:
+    """One statement per subject, its predicates separated by semicolons."""
+    lines = F.array_join(F.transform("pairs", lambda x: F.concat(x["p"], F.lit(" "), x["o"])), " ; ")
+    _by_subject(triples).select(F.concat(F.col("subject"), F.lit(" "), lines, F.lit(" .")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_jsonld(triples: DataFrame, path: str) -> None:
+    """One JSON-LD node object per line and subject."""
+    def value(t: Column) -> Column:
+        ref = F.to_json(F.struct(F.when(t["kind"] == "blank", F.concat(F.lit("_:"), t["value"])).otherwise(t["value"]).alias("@id")))
+        plain = F.to_json(F.struct(t["value"].alias("@value"), t["lang"].alias("@language"), t["datatype"].alias("@type")))
+        return F.when(t["kind"] == "literal", plain).otherwise(ref)
+
+    keys = F.array_distinct(F.transform("pairs", lambda x: x["iri"]))
+    members = F.transform(keys, lambda k: F.concat(F.to_json(F.array(k)), F.lit(":["), F.array_join(F.transform(F.filter("pairs", lambda x: x["iri"] == k), lambda x: value(x["term"])), ","), F.lit("]")))
+    members = F.transform(members, lambda m: F.regexp_replace(m, r'^\["(.*?)"\]:', r'"$1":'))
+    name = F.when(F.col("s")["kind"] == "blank", F.concat(F.lit("_:"), F.col("s")["value"])).otherwise(F.col("s")["value"])
+    start = F.regexp_replace(F.to_json(F.struct(name.alias("@id"))), r"\}$", "")
+    _by_subject(triples).select(F.concat(start, F.lit(","), F.array_join(members, ","), F.lit("}")).alias("value")).write.mode("overwrite").text(path)

@@ -4,6 +4,7 @@ import pytest
 
 from lattica.graph import CypherError, Graph, Graphs
 from lattica.model import PropertyGraph
+from lattica.operators import vector
 
 
 def build(spark, nodes, edges):
@@ -245,6 +246,9 @@ def test_vectors(spark):
     assert [r[0] for r in got] == ["a", "b", "c", "z"] and got[0][1] < 1e-9 and got[1][1] < 0.1 and got[3][1] == 1.0
     assert rows(g, "CALL db.index.vector.queryNodes('P', 'e', [1.0, 0.0], 2) YIELD node, score MATCH (node)-[:KNOWS]->(x) RETURN x.name AS x") == [("c",)]
     g.cypher("CREATE VECTOR INDEX i FOR (p:P) ON (p.e) OPTIONS {dimensions: 3}")
+    g.cypher("CREATE VECTOR INDEX j FOR (p:Q) ON (p.e) OPTIONS {dimensions: 2}")
+    assert [r["node"] for r in vector.search_all(g.current, [1.0, 0.0, 0.0], 2).collect()] == [] and vector.search_all(g.current, [1.0, 0.0], 2).collect() == []
+    assert len(g.rows("MATCH (p:P) RETURN p.name", timeout=60)) == 4
     with pytest.raises(CypherError):
         g.read("CALL db.index.vector.queryNodes('P', 'e', [1.0, 0.0], 2) YIELD node RETURN node")
     with pytest.raises(CypherError):

@@ -1,5 +1,7 @@
 """Files, RDF and streams."""
 
+import json
+
 import pytest
 
 from lattica.graph import Graph
@@ -62,6 +64,12 @@ def test_rdf(spark, tmp_path):
     assert sorted(map(str, rdf.read_ntriples(spark, str(tmp_path / "out")).collect())) == sorted(map(str, t.collect()))
     g = Graph(rdf.to_graph(t))
     assert [tuple(r) for r in g.read("MATCH (a)-[:knows]->(b) RETURN a.iri AS a, b.iri AS b, a.rdf_type AS t").collect()] == [("http://x/a", "http://x/b", ["http://x/T"])]
+    rdf.write_jsonld(t, str(tmp_path / "ld"))
+    objects = {o["@id"]: o for o in (json.loads(r[0]) for r in spark.read.text(str(tmp_path / "ld")).collect())}
+    assert objects["http://x/a"]["http://x/knows"] == [{"@id": "http://x/b"}] and objects["http://x/a"]["http://xmlns.com/foaf/0.1/name"] == [{"@value": 'A "q" \n', "@language": "en"}]
+    rdf.write_turtle(t.where("g is null"), str(tmp_path / "ttl"))
+    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "ttl")).collect())
+    assert rdf.read_turtle(spark, text).count() == 3
     (tmp_path / "bad.nt").write_text("<a> nonsense\n")
     with pytest.raises(Exception):
         rdf.read_ntriples(spark, str(tmp_path / "bad.nt")).collect()
@@ -75,3 +83,11 @@ def test_stream(spark, tmp_path):
     ingest.append_edges(stream, str(tmp_path / "out"), str(tmp_path / "state"), "a", "b", ("k",)).awaitTermination()
     g = ingest.extended(PropertyGraph.build(spark, [{"id": k, "labels": ["N"]} for k in (1, 2, 3)], []), "E", str(tmp_path / "out"))
     assert sorted(r[0] for r in Graph(g).read("MATCH (a)-[e:E]->(b) RETURN e.k AS k").collect()) == ["x", "y"]
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    spark.sql("select timestamp'2024-01-01 10:00:00' as ts, 1 as u union all select timestamp'2024-01-01 11:00:00', 1 union all select timestamp'2024-01-02 01:00:00', 2").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, u int").parquet(str(tmp_path / "in"))
+    query = ingest.windowed_degree(stream, "ts", "u").writeStream.format("memory").queryName("degrees").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["u"], r["n"]) for r in spark.sql("select * from degrees").collect()) == [(1, 2), (2, 1)]
