@@ -95,14 +95,14 @@ cypher("pattern_comprehension", "MATCH (r:Region) RETURN r.r_name AS r, [(r)<-[:
 
 # --- aggregation, WITH, ordering ---
 
-cypher("agg_all", "MATCH (c:Customer) RETURN c.c_mktsegment AS seg, count(*) AS n, count(DISTINCT c.c_nationkey) AS nations, round(sum(c.c_acctbal), 2) AS s, round(avg(c.c_acctbal), 4) AS a, min(c.c_acctbal) AS lo, max(c.c_acctbal) AS hi",
-       "SELECT c_mktsegment AS seg, count(*) AS n, count(DISTINCT c_nationkey) AS nations, round(sum(c_acctbal), 2) AS s, round(avg(c_acctbal), 4) AS a, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1")
+cypher("agg_all", "MATCH (c:Customer) RETURN c.c_mktsegment AS seg, count(*) AS n, count(DISTINCT c.c_nationkey) AS nations, round(sum(c.c_acctbal), 2) AS s, round(avg(c.c_acctbal), 6) AS a, min(c.c_acctbal) AS lo, max(c.c_acctbal) AS hi",
+       "SELECT c_mktsegment AS seg, count(*) AS n, count(DISTINCT c_nationkey) AS nations, round(sum(c_acctbal), 2) AS s, round(avg(c_acctbal), 6) AS a, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1")
 cypher("agg_percentiles", "MATCH (c:Customer) RETURN c.c_mktsegment AS seg, round(percentileCont(c.c_acctbal, 0.5), 4) AS median, percentileDisc(c.c_acctbal, 0.9) AS p90, round(stDev(c.c_acctbal), 4) AS sd, round(stDevP(c.c_acctbal), 4) AS sdp",
        "SELECT c_mktsegment AS seg, round(quantile_cont(c_acctbal, 0.5), 4) AS median, quantile_disc(c_acctbal, 0.9) AS p90, round(stddev_samp(c_acctbal), 4) AS sd, round(stddev_pop(c_acctbal), 4) AS sdp FROM customer GROUP BY 1")
 cypher("agg_collect", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.n_nationkey RETURN r.r_name AS r, collect(DISTINCT n.n_nationkey) AS keys", "SELECT r_name AS r, list(n_nationkey ORDER BY n_nationkey) AS keys FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 cypher("agg_empty", "MATCH (c:Customer) WHERE c.c_acctbal > 1000000 RETURN count(c) AS n, sum(c.c_acctbal) AS s, collect(c.c_custkey) AS keys", "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS s, []::BIGINT[] AS keys")
-cypher("nested_agg", "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_mktsegment AS seg, round(sum(o.o_totalprice) / count(DISTINCT c), 3) AS per, count(*) + 1 AS n1",
-       "SELECT c_mktsegment AS seg, round(sum(o_totalprice) / count(DISTINCT c_custkey), 3) AS per, count(*) + 1 AS n1 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+cypher("nested_agg", "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_mktsegment AS seg, round(sum(o.o_totalprice) / count(DISTINCT c), 6) AS per, count(*) + 1 AS n1",
+       "SELECT c_mktsegment AS seg, round(sum(o_totalprice) / count(DISTINCT c_custkey), 6) AS per, count(*) + 1 AS n1 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 cypher("group_entity", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n WHERE n > 20 RETURN c.c_name AS name, n", "SELECT c_name AS name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING count(*) > 20")
 cypher("with_topk_expand", "MATCH (c:Customer) WITH c ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 10 MATCH (c)-[:PLACED]->(o:Order) RETURN c.c_custkey AS c, count(o) AS n",
        "SELECT c_custkey AS c, count(*) AS n FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) JOIN orders ON o_custkey = c_custkey GROUP BY 1")
