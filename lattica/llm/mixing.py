@@ -17,6 +17,8 @@ from lattica.llm.common import WORD, cut, unused
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
+#: Sources up to which their table, a few numbers each, is sent to every executor.
+MOST_BROADCAST = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,6 +60,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed
     source, rate_ = unused([*docs.columns, *kept], "_source", "_rate")
     sized = docs.select(*kept, word_count(F.col("text")).alias("size"))
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)).withColumnRenamed("source", source)
+    if sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # else Spark joins by source and splits large ones
+        sources = F.broadcast(sources)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     joined = sized.join(sources, F.col("source").eqNullSafe(F.col(source))).drop(source).withColumn(rate_, rate)
     copies = F.floor(rate_) + F.when(uniform(F.col("doc_id"), seed) < F.col(rate_) - F.floor(rate_), 1).otherwise(0)
