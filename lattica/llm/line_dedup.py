@@ -127,6 +127,7 @@ def deletions(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) ->
     key = F.struct("id", "version")
     lines = cut(line_hashes(docs))
     first = lines.groupBy("hash").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").select("hash", "first")
+    first = cut(first)  # apart from the join, which can then split a line that very many documents hold
     shared = cut(lines.join(first, "hash"))
     item = F.struct("ord", "line", "words", "hash")
     listed = shared.groupBy("id", "version").agg(F.array_sort(F.collect_set(item)).alias("own"))  # of one document
