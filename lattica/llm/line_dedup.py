@@ -130,7 +130,7 @@ def deletions(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) ->
     first = cut(first)  # apart from the join, which can then split a line that very many documents hold
     shared = cut(lines.join(first, "hash"))
     item = F.struct("ord", "line", "words", "hash")
-    listed = shared.groupBy("id", "version").agg(F.array_sort(F.collect_set(item)).alias("own"))  # of one document
+    listed = cut(shared.groupBy("id", "version").agg(F.array_sort(F.collect_set(item)).alias("own")))  # of one document; read twice
     named = shared.where(F.col("words") >= anchor_words).where(F.col("first") < key)
     pairs = named.select("id", "version", F.col("first.id").alias("f_id"), F.col("first.version").alias("f_version")).distinct()
     early = listed.select(F.col("id").alias("f_id"), F.col("version").alias("f_version"), F.col("own").alias("early"))
