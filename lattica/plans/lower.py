@@ -74,8 +74,8 @@ def needed(query: Query) -> tuple[set[str] | None, bool]:
 class Lowerer:
     """Lowers one query over a graph. ``writer`` executes clauses that write; without it they are refused."""
 
-    def __init__(self, graph: PropertyGraph, params: dict[str, Any] | None = None, writer: Any = None, trails: bool = False):
-        self.graph, self.params, self.writer, self.trails = graph, params or {}, writer, trails
+    def __init__(self, graph: PropertyGraph, params: dict[str, Any] | None = None, writer: Any = None):
+        self.graph, self.params, self.writer = graph, params or {}, writer
         self.keys: set[str] | None = None
         self.want_labels = True
         self.notes: list[str] = []
