@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed once. A line that several documents share names candidate pairs: its first holder with
-each later one, so a line held by n documents names n - 1 pairs, however frequent it is, and no pair is lost to a cap: what a later
-document shares with anybody it shares with some first holder. Each pair is aligned by patience diff over the
+Lines are hashed once. A window is a run of neighbouring lines that holds just enough words, counted forwards or backwards
+from any line of a document; every line of a block with enough words lies in a window within it. A window that several documents share names
+candidate pairs: its first holder with each later one, so a window held by n documents names n - 1 pairs, however
+frequent its lines are, and whatever block a later document shares with any earlier one, each line of it is met again in a first
+holder. Each pair is aligned by patience diff over the
 lines that are shared at all; runs of aligned lines, consecutive in both documents, that hold enough words are
 deleted from the later document. The first holder of a line never loses it.
 """
@@ -122,16 +124,63 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, version long, line int, ord int, words int, hash long")
 
 
-def deletions(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) -> DataFrame:
+def windows(items: list[dict], least_words: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of the windows in a document's shared lines: the shortest run from, and up to, each line that holds enough words."""
+    for up in (True, False):
+        low = high = words = 0  # items[low:high] are neighbours
+        while high < len(items):
+            if high > low and items[high]["ord"] != items[high - 1]["ord"] + 1:
+                low, words = high, 0
+            words += items[high]["words"]
+            high += 1
+            if up:
+                while words >= least_words:  # the shortest run from low ends here
+                    yield low, high
+                    words -= items[low]["words"]
+                    low += 1
+            else:
+                while words - items[low]["words"] >= least_words:
+                    words -= items[low]["words"]
+                    low += 1
+                if words >= least_words:
+                    yield low, high
+
+
+def window_keys(listed: DataFrame, least_words: int) -> DataFrame:
+    """(id, version, key): every window of listed(id, version, own) by the hash of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(low, 256), ([], [], [])
+                for key, version, own in zip(batch.column("id").to_pylist(), batch.column("version").to_pylist(), batch.column("own"), strict=True):
+                    items = own.as_py()
+                    hashes = pa.array([x["hash"] for x in items], pa.int64()).to_numpy()
+                    for h in {xxh64_intdigest(hashes[i:j].tobytes()) for i, j in windows(items, least_words)}:
+                        for o, x in zip(out, (key, version, h - (1 << 64) if h >> 63 else h), strict=True):
+                            o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "version", "key"])
+
+    return listed.mapInArrow(run, "id long, version long, key long")
+
+
+def first_holders(rows: DataFrame, by: str) -> DataFrame:
+    """(by, first) of those values of a column that several documents hold, apart from later joins, which can then split a very common one."""
+    key = F.struct("id", "version")
+    return cut(rows.groupBy(by).agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").select(by, "first"))
+
+
+def deletions(docs: DataFrame, least_words: int = 20) -> DataFrame:
     """(id, version, gone): raw line numbers to delete from each document of docs(id, version, text) that loses any."""
     key = F.struct("id", "version")
     lines = cut(line_hashes(docs))
-    first = lines.groupBy("hash").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").select("hash", "first")
-    first = cut(first)  # apart from the join, which can then split a line that very many documents hold
-    shared = cut(lines.join(first, "hash"))
+    shared = lines.join(first_holders(lines, "hash").select("hash"), "hash")
     item = F.struct("ord", "line", "words", "hash")
     listed = cut(shared.groupBy("id", "version").agg(F.array_sort(F.collect_set(item)).alias("own")))  # of one document; read twice
-    named = shared.where(F.col("words") >= anchor_words).where(F.col("first") < key)
+    held = cut(window_keys(listed, least_words))
+    named = held.join(first_holders(held, "key"), "key").where(F.col("first") < key)
     pairs = named.select("id", "version", F.col("first.id").alias("f_id"), F.col("first.version").alias("f_version")).distinct()
     early = listed.select(F.col("id").alias("f_id"), F.col("version").alias("f_version"), F.col("own").alias("early"))
     both = pairs.join(listed, ["id", "version"]).join(early, ["f_id", "f_version"]).select("id", "version", "early", F.col("own").alias("late"))
@@ -150,7 +199,7 @@ def deletions(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) ->
     return found.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
     """docs with ``text`` less its deleted lines, plus ``n_lines`` and ``n_deleted``.
 
     Later means a greater doc_id (null first), then the greater XXH64 of the text; rows equal in both are one
@@ -160,7 +209,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, anchor_words: int = 3) -
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     id_, version, gone_, lines_ = unused(docs.columns, "_id", "_version", "_gone", "_lines")
     keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(id_), F.xxhash64("text").alias(version))
-    gone = cut(deletions(keyed.select(F.col(id_).alias("id"), F.col(version).alias("version"), "text"), least_words, anchor_words))
+    gone = cut(deletions(keyed.select(F.col(id_).alias("id"), F.col(version).alias("version"), "text"), least_words))
     gone = gone.select(F.col("id").alias(id_), F.col("version").alias(version), F.col("gone").alias(gone_)).hint("shuffle_hash")
     joined = keyed.join(gone, [id_, version], "left").withColumn(lines_, F.split("text", "\n"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone_)), lambda k: F.col(lines_)[k])

@@ -70,3 +70,28 @@ def test_odd_rows(spark):
     assert by[2] == [(None, 0)] and by[3] == [("", 0)] and by[4] == [("\n\n", 0)] and by[6] == [("x", 0)]
     assert by[5][0][1] == 8  # both copies are held by the first document
     assert ld.dedup_lines(documents(spark, [])).collect() == []
+
+
+def test_blocks_of_lines_first_held_one_by_one_go(spark):
+    lines = passage(21, 4).split("\n")
+    short = [f"t{k} u{k}" for k in range(12)]  # two words a line
+    rows = [(k, f"{text(30, 300 + k)}\n{x}\nown end {k}") for k, x in enumerate(lines + short)]
+    rows += [(50 + k, "\n".join([f"head of {k}", *lines, f"middle of {k}", *short])) for k in range(4)]
+    rows += [(60 + k, f"start {k}\n{' '.join(words(25, 4))}\n{x}") for k, x in enumerate(["few words", "few words"])]
+    got = {r[0]: r[1] for r in run(spark, rows)}
+    assert all(got[r[0]] == r[1] for r in rows[:17]) and got[60] == rows[-2][1]
+    assert [got[50 + k] for k in (1, 2, 3)] == [f"head of {k}\nmiddle of {k}" for k in (1, 2, 3)] and got[61] == "start 1"
+
+
+def test_every_line_of_a_block_lies_in_a_window_within_it():
+    rng = random.Random(3)
+    for _ in range(300):
+        items = [{"ord": k, "words": rng.choice((1, 2, 5, 19, 20, 40))} for k in range(30) if rng.random() < 0.9]
+        got = set(ld.windows(items, 20))
+        for low in range(len(items)):
+            for high in range(low + 1, len(items) + 1):
+                block = items[low:high]
+                if block[-1]["ord"] - block[0]["ord"] != len(block) - 1:
+                    break
+                if sum(x["words"] for x in block) >= 20:
+                    assert {k for i, j in got if low <= i and j <= high for k in range(i, j)} == set(range(low, high))
