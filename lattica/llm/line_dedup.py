@@ -73,13 +73,15 @@ def common_blocks(early: list[dict], late: list[dict], least_words: int) -> list
     """Raw line numbers of ``late`` that lie in aligned blocks with at least ``least_words`` words.
 
     One alignment holds blocks in the order of both documents; blocks that moved are found by aligning what is left again, until
-    an alignment deletes nothing.
+    an alignment deletes nothing. Lines that repeat can hide a block from every alignment, and a deleted block can cut another that
+    overlaps it; so runs of ``late`` that are equal to a run of ``early`` are then matched by their windows.
     """
     both = {x["hash"] for x in early}.intersection(x["hash"] for x in late)
     if sum(x["words"] for x in late if x["hash"] in both) < least_words:
         return []
     early, late = [x for x in early if x["hash"] in both], [x for x in late if x["hash"] in both]
-    out: list[int] = []
+    out: set[int] = set()
+    whole = late
     while late:
         gone: set[int] = set()
         run: list[int] = []
@@ -96,8 +98,13 @@ def common_blocks(early: list[dict], late: list[dict], least_words: int) -> list
             last = here
         if not gone:
             break
-        out += [late[j]["line"] for j in gone]
+        out.update(late[j]["line"] for j in gone)
         late = [x for j, x in enumerate(late) if j not in gone]
+    if late:
+        held = {tuple(x["hash"] for x in early[i:j]) for i, j in windows(early, least_words)}
+        for i, j in windows(whole, least_words):
+            if tuple(x["hash"] for x in whole[i:j]) in held:
+                out.update(x["line"] for x in whole[i:j])
     return sorted(out)
 
 

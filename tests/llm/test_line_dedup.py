@@ -95,3 +95,30 @@ def test_every_line_of_a_block_lies_in_a_window_within_it():
                     break
                 if sum(x["words"] for x in block) >= 20:
                     assert {k for i, j in got if low <= i and j <= high for k in range(i, j)} == set(range(low, high))
+
+
+def items(hashes, words=7):
+    return [{"ord": k, "line": k, "words": words, "hash": h} for k, h in enumerate(hashes)]
+
+
+def equal_runs(early, late, least):
+    """Lines of every run of ``late`` that is somewhere in ``early`` and holds enough words, by trying all."""
+    out = set()
+    for i in range(len(late)):
+        for j in range(len(early)):
+            n = 0
+            while i + n < len(late) and j + n < len(early) and late[i + n]["hash"] == early[j + n]["hash"]:
+                n += 1
+            if sum(x["words"] for x in late[i : i + n]) >= least:
+                out.update(range(i, i + n))
+    return sorted(out)
+
+
+def test_blocks_that_no_alignment_shows_are_found():
+    p = [1, 2, 3, 4]
+    assert ld.common_blocks(items([*p, *p, 9]), items([9, *p, *p]), 20) == list(range(1, 9))
+    assert ld.common_blocks(items([1, 2, 3, 8, 3, 4, 5]), items([1, 2, 3, 4, 5]), 20) == list(range(5))  # blocks that overlap
+    rng = random.Random(7)
+    for _ in range(500):
+        early, late = (items([rng.randrange(6) for _ in range(rng.randrange(14))]) for _ in range(2))
+        assert ld.common_blocks(early, late, 20) == equal_runs(early, late, 20)
