@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -31,7 +32,7 @@ def test_marginals_are_exact_without_loops():
     rng = np.random.default_rng(0)
     field = pii.Field(rng.normal(size=(pii.N_FEATURES, pii.N_LABELS)), rng.normal(size=(pii.N_LABELS,) * 2), rng.normal(size=(pii.N_LABELS,) * 2))
     x = rng.normal(size=(4, pii.N_FEATURES))
-    t = pii.Tokens(np.zeros((4, 2), int), x, np.array([[0, 1], [1, 2]]), np.array([[1, 3]]))
+    t = pii.Tokens(np.zeros((4, 2), int), x, np.array([[0, 1], [1, 2]]), np.array([[1, 3]]), np.zeros(4, bool))
     unary, want = x @ field.unary, np.zeros((4, pii.N_LABELS))
     for ys in itertools.product(range(pii.N_LABELS), repeat=4):
         p = np.exp(sum(unary[k, y] for k, y in enumerate(ys)) + sum(field.chain[ys[a], ys[b]] for a, b in t.chain) + sum(field.skip[ys[a], ys[b]] for a, b in t.skip))
@@ -67,6 +68,7 @@ def test_find(spark):
         assert r["base"] == pii.written(base)
         assert tuple(r[f"n_{k}"] for k in pii.KINDS) == tuple(sum(s[2] == k for s in base) for k in range(4))
         everything = set(filter(None, r["spans"].split(",")))
+        assert r["n_all"] == len(everything) + len([x for x in r["secrets"].split(",") if x])
         assert set(filter(None, r["base"].split(","))) <= everything
         for s in everything:
             kind, low, high = s.split(":")
@@ -84,6 +86,44 @@ def test_skip_edges_carry_a_label_to_a_likeness():
     assert [s for s in everything if s not in base] == [(26, 36, 3)]
 
 
+def test_the_field_finds_what_the_patterns_miss(spark):
+    """Trained on half of a corpus with planted secrets and numbers side by side, held out on the other half."""
+    rng = random.Random(8)
+    rows, truth = [], {}
+    for k in range(400):
+        w = [rng.choice(["and", "the", "of", "in", "Version 2.0.", "CC BY-NC 4.0.", "page 12"]) for _ in range(50)]
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        phone = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+        card = next(c for c in (f"4{rng.randrange(10**15):015d}" for _ in itertools.count()) if pii.luhn(c))
+        planted = [[f'token = "{hexes}"'], [f"password={hexes[:18]}"], ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))], [phone], [card], [phone, card], []][k % 7]
+        if planted:
+            w[20:20] = planted
+        rows.append((k, " ".join(w)))
+        truth[k] = planted
+    out = pii.find(documents(spark, rows[200:]), pii.fit(documents(spark, rows[:200]))).collect()
+    caught = {r["doc_id"]: r["n_all"] for r in out}
+    assert all(caught[k] >= len(truth[k]) for k in caught) and all(caught[k] == 0 for k in caught if not truth[k])
+    both = [r for r in out if len(truth[r["doc_id"]]) == 2]
+    assert both and all((r["n_card"], r["n_phone"]) == (0, 0) and [s.split(":")[0] for s in r["spans"].split(",")] == ["phone", "card"] for r in both)
+
+
+def test_candidates_by_a_plain_scan():
+    rng = random.Random(4)
+    for _ in range(500):
+        t = "".join(rng.choice("ab1@ \n\"=+(.-Z9") for _ in range(rng.randrange(40)))
+        plain = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D\"'=<>|]+", t) if re.search("[0-9@]", m[0])]
+        assert pii.candidates(t) == plain
+    assert pii.candidates("x ABCDEFGHIJKLMNOPQRST y") == [(2, 22)]
+    assert len(pii.tokens_of("x" * 1_000_000 + " 1" + "9" * 300_000).span) == 1  # linear in the text
+
+
+def test_query_digests_the_base_spans(spark, data):
+    from lattica.llm import queries
+
+    rows = queries.op9_pii(spark, data).collect()
+    assert rows and all(r["base_sha256"] == hashlib.sha256(r["base"].encode()).hexdigest() for r in rows)
+
+
 def test_nothing(spark):
     docs = documents(spark, [])
     assert pii.find(docs, pii.fit(docs)).collect() == []
