@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -175,18 +176,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def long_parts(text: bytes, most: int = 4 << 20) -> Iterator[bytes]:
-    """A text in parts cut at white space, of about ``most`` bytes, so that memory doesn't follow the text."""
-    low = 0
-    while len(text) - low > most:
-        high = max(text.rfind(c, low, low + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if high <= low:
-            high = min((x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := text.find(c, low + most)) >= 0), default=len(text))
-        yield text[low:high]
-        low = high
-    yield text[low:]
-
-
 def pieces(docs: DataFrame, path: str, room: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row of ``docs(doc_id, text)``.
 
@@ -244,104 +233,180 @@ def best_fit(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], i
     return [(p, b) for group in by_rest.values() for p, b in group]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from ``counts``, least waste first.
+def unavoidable(left: dict[int, int], sizes: list[int], room: int) -> int:
+    """Room that no packing of ``left`` can use: large pieces against all that could stand beside them. ``sizes``: descending."""
+    low, carry, waste = len(sizes) - 1, 0, 0
+    for k, size in enumerate(sizes):
+        rest = room - size
+        if size <= rest or k > low:
+            break
+        while low > k and sizes[low] <= rest:
+            carry += sizes[low] * left[sizes[low]]
+            low -= 1
+        short = rest * left[size] - carry
+        waste, carry = waste + max(0, short), max(0, -short)
+    return waste
+
+
+def bound(left: dict[int, int], room: int) -> int:
+    """Bins that any packing needs: all sizes and the unavoidable waste over the room of a bin."""
+    sizes = sorted((s for s, n in left.items() if n), reverse=True)
+    return -(-(sum(s * left[s] for s in sizes) + unavoidable(left, sizes, room)) // room)
+
 
-    A single length that fits exactly dominates every other filling. Otherwise: for each count of items up
-    to three the filling of least waste, and greedy ones from each of the largest lengths. A filling whose
-    waste leaves room for another length is completed, as the completed one dominates it.
+def dominated(filling: tuple[int, ...], waste: int, left: dict[int, int], there: int) -> bool:
+    """Whether one piece left over could take the place of some pieces of ``filling`` that fit into its own. ``there``: bit set of the sizes left.
+
+    Swapped, the bin is as full or fuller with fewer or larger pieces, and the others fit where the one was: what remains is no harder.
     """
-    if not room or not sizes or sizes[-1] > room:
-        return [()]
-    if counts.get(room):
-        return [(room,)]
-    fit = [s for s in sizes if s <= room and counts[s]]
-    if not fit:
-        return [()]
-    have = counts.get
-
-    def enough(*parts: int) -> bool:
-        return all(have(s, 0) >= k for s, k in Counter(parts).items())
-
-    found: dict[tuple[int, ...], int] = {}
-    for a in fit:  # two that fit exactly, the larger as large as can be
-        b = room - a
-        if b > a:
-            break
-        if have(b, 0) and enough(a, b):
-            return [(a, b)]
-    for a in fit[:24]:
-        for b in fit[:400]:
-            if b <= a and (c := room - a - b) <= b and c > 0 and have(c, 0) and enough(a, b, c):
-                found[(a, b, c)] = 0
-                break
-        if len(found) >= most:
-            break
-    for a in fit[: 2 * most]:  # greedy completions
-        parts, rest = [a], room - a
-        own = Counter({a: 1})
-        while rest >= fit[-1]:
-            s = next((s for s in fit if s <= rest and have(s, 0) > own[s]), 0)
-            if not s:
-                break
-            parts.append(s)
-            own[s] += 1
-            rest -= s
-        found.setdefault(tuple(parts), rest)
-    return sorted(found, key=lambda p: (found[p], [-x for x in p]))[:most]
+    one, more = 0, 0  # sums of one piece, of several
+    for s in filling:
+        more |= (more | one) << s
+        one |= 1 << s
+    for s, n in Counter(filling).items():
+        if left[s] == n:
+            there &= ~(1 << s)
+    return any((more << d) & there or (d and (one << d) & there) for d in range(waste + 1))
+
 
+def fillings(left: dict[int, int], sizes: list[int], room: int, most_waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(filling, waste): every undominated way to fill ``room`` from ``left`` with at most ``most_waste`` left over, least waste first.
 
-def bin_completion(counts: dict[int, int], room: int, steps: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+    A piece that fits exactly dominates all others. Pairs come first among those without waste, as they are found without a
+    table; the others come from sums that a bit set for each size shows to be reachable. Nothing is worked out before it is asked for.
+    """
+    fit = sizes[bisect_left(sizes, -room, key=int.__neg__) :]
+    if fit and fit[0] == room:
+        yield (room,), 0
+        return
+    weight = 0
+    for s in reversed(fit):
+        weight += s * left[s]
+        if weight > room:
+            break
+    if weight <= room:  # all that fit: nothing else is maximal
+        if room - weight <= most_waste:
+            yield tuple(s for s in fit for _ in range(left[s])), room - weight
+        return
+    for a in fit:
+        if 2 * a < room:
+            break
+        if left.get(room - a, 0) > (2 * a == room):
+            yield (a, room - a), 0
+    there, reach = sum(1 << s for s in fit), [1] * (len(fit) + 1)
+    mask = (1 << (room + 1)) - 1
+    for k in range(len(fit) - 1, -1, -1):  # sums of pieces from the k-th size on
+        sums, n, each = reach[k + 1], min(left[fit[k]], room // fit[k]), 1
+        while n:
+            each = min(each, n)
+            sums |= (sums << (fit[k] * each)) & mask
+            n, each = n - each, 2 * each
+        reach[k] = sums
+
+    def exact(k: int, rest: int, parts: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Ways to reach the sum ``rest`` by sizes from the k-th on, larger pieces first."""
+        for j in range(max(k, bisect_left(fit, -rest, key=int.__neg__)), len(fit)):
+            if not reach[j] >> rest & 1:
+                return
+            for n in range(min(left[fit[j]], rest // fit[j]), 0, -1):
+                now, more = rest - n * fit[j], parts + (fit[j],) * n
+                if not now:
+                    yield more
+                elif reach[j + 1] >> now & 1:
+                    yield from exact(j + 1, now, more)
+
+    for waste in range(min(most_waste, room) + 1):
+        for filling in exact(0, room - waste, ()):
+            if waste or len(filling) > 2:
+                used = Counter(filling)
+                free = next((s for s in reversed(fit) if left[s] > used[s]), room + 1)  # the least piece that stays out
+                if free > waste and not dominated(filling, waste, left, there):
+                    yield filling, waste
+
+
+def bin_completion(counts: dict[int, int], room: int, steps: int = 40_000) -> list[tuple[tuple[int, ...], int]]:
     """Bins for ``counts`` of lengths: [(lengths of a bin, how many such bins)].
 
-    Branch and bound over fillings around the largest length, with best-fit decreasing as incumbent. A
-    branch ends once its bins so far and the bound for the rest reach the incumbent. ``steps`` bounds the
-    search, never the result: it is a full packing at any bound.
+    Branch and bound. The best-fit-decreasing packing is the incumbent. A node takes the largest length left, its branches are the
+    undominated fillings beside it, each applied as often as the counts allow, then once less and so on; a filling branched on before is not
+    taken again for that length, so no packing is met twice. A branch ends once its waste, with the waste that is
+    unavoidable in the rest, cannot beat the incumbent. The first packing found replaces an incumbent that is as good, and the
+    search ends where the incumbent meets the bound. Otherwise the result is optimal unless ``steps`` nodes were not enough
+    to end the search; it then is the best packing met, never a partial one.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
         return []
     best = best_fit(counts, room)
-    best_n = sum(n for _, n in best)
-    least = max(-(-sum(s * n for s, n in counts.items()) // room), sum(n for s, n in counts.items() if 2 * s > room))
-    if best_n <= least:
-        return best
-
-    def dive(skip: dict[int, int]) -> tuple[list, int, list[int]]:
-        """One descent; at step k the filling number skip.get(k, 0). Gives bins, their number and the steps that had a choice."""
-        left, sizes, out, used, total, choices = dict(counts), sorted(counts, reverse=True), [], 0, sum(s * n for s, n in counts.items()), []
-        while sizes:
-            nonlocal steps
-            steps -= 1
-            k, top = len(out), sizes[0]
-            left[top] -= 1
-            ways = fillings(left, sizes, room - top)
+    most, least = sum(n for _, n in best), bound(counts, room)
+    left, used, total = dict(counts), 0, sum(s * n for s, n in counts.items())
+    sizes = sorted(left, reverse=True)
+    done: list[tuple[tuple[int, ...], int]] = []
+
+    def branches(banned: frozenset) -> Iterator[tuple[tuple[int, ...], int, frozenset]]:
+        """(bin, times, fillings that a node below with the same largest length leaves out) at the present counts."""
+        top, own = sizes[0], banned
+        spare = (most - 1 - used) * room - total
+        left[top] -= 1
+        now = sizes if left[top] else sizes[1:]
+        ways = fillings(left, now, room - top, spare)
+        while True:
+            # the generator reads the counts of this node: they are as it left them whenever it goes on
+            way = next(ways, None)
             left[top] += 1
-            if len(ways) > 1:
-                choices.append(k)
-            way = (top, *ways[min(skip.get(k, 0), len(ways) - 1)])
-            own = Counter(way)
-            times = min(left[s] // c for s, c in own.items())
-            out.append((way, times))
-            used, total = used + times, total - times * sum(way)
-            for s, c in own.items():
-                left[s] -= c * times
-            sizes = [s for s in sizes if left[s]]
-            if used + -(-total // room) >= best_n:  # the waste so far already matches the incumbent
-                return out, best_n, choices
-        return out, used, choices
-
-    tried = [{}]
-    while tried and steps > 0 and best_n > least:
-        skip = tried.pop(0)
-        out, n, choices = dive(skip)
-        if n < best_n and sum(c for _, c in out) == n:
-            best, best_n = out, n
-        first = max(skip, default=-1) + 1
-        tried += [{**skip, k: 1} for k in reversed(choices) if k >= first][:64]
+            if way is None:
+                return
+            filling, waste = (top, *way[0]), way[1]
+            if filling not in own:
+                need = Counter(filling)
+                times = min(left[s] // n for s, n in need.items())
+                own = own | {filling}
+                while times:
+                    if waste * times <= (most - 1 - used) * room - total:
+                        yield filling, times, own
+                    times -= 1
+            left[top] -= 1
+
+    most += 1  # the first packing may be as good as the incumbent
+    frames = [branches(frozenset())]
+    while frames and steps > 0:
+        branch = next(frames[-1], None)
+        if branch is None:
+            frames.pop()
+            if done:
+                _apply(left, sizes, done[-1], -1)
+                used, total = used - done[-1][1], total + done[-1][1] * sum(done[-1][0])
+                done.pop()
+            continue
+        steps -= 1
+        filling, times, own = branch
+        _apply(left, sizes, branch[:2], 1)
+        done.append((filling, times))
+        used, total = used + times, total - times * sum(filling)
+        if not total:
+            best, most = list(done), used
+            if most <= least:
+                break
+        elif used < most and total + unavoidable(left, sizes, room) <= (most - 1 - used) * room:
+            frames.append(branches(own if sizes[0] == filling[0] else frozenset()))
+            continue
+        _apply(left, sizes, done[-1], -1)
+        used, total = used - times, total + times * sum(filling)
+        done.pop()
     return best
 
 
+def _apply(left: dict[int, int], sizes: list[int], bins: tuple[tuple[int, ...], int], sign: int) -> None:
+    """Take bins' pieces out of the counts (sign 1) or put them back (-1); ``sizes`` holds the lengths left, descending."""
+    for s, n in Counter(bins[0]).items():
+        before = left[s]
+        left[s] = before - sign * n * bins[1]
+        if not left[s]:
+            del sizes[bisect_left(sizes, -s, key=int.__neg__)]
+        elif not before:
+            sizes.insert(bisect_left(sizes, -s, key=int.__neg__), s)
+
+
 def slots(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first rank, end rank, first sequence, items a sequence, offset) that place every piece by its rank."""
     taken: Counter = Counter()

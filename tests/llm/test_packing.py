@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -50,12 +51,72 @@ def test_bin_completion_packs_everything_and_no_worse_than_best_fit(seed):
     assert sum(n for _, n in bins) <= sum(n for _, n in packing.best_fit(counts, 100))
 
 
-def test_bin_completion_finds_the_optimum_where_best_fit_fails():
-    counts = {6: 2, 5: 1, 4: 3, 3: 1, 2: 1}  # 6+4, 6+4, 5+3+2, 4
-    assert sum(n for _, n in packing.bin_completion(counts, 10)) == 3 + (sum(s * n for s, n in counts.items()) > 30)
-    hard = {51: 6, 27: 6, 26: 6, 23: 6, 25: 12, 24: 0}
-    assert sum(n for _, n in packing.bin_completion(hard, 100)) <= sum(n for _, n in packing.best_fit(hard, 100))
-    assert packing.bin_completion({}, 10) == []
+def fewest(sizes, room):
+    """Bins that an exhaustive search needs."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for held in set(bins):
+            if held + sizes[k] <= room:
+                i = bins.index(held)
+                place(k + 1, [*bins[:i], held + sizes[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal():
+    beaten = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        room = rng.choice([10, 20, 30, 50, 100])
+        low = rng.choice([1, room // 5 + 1, room // 4])
+        sizes = [rng.randint(low, room if rng.random() < 0.3 else room * 2 // 3) for _ in range(rng.randint(1, 11))]
+        counts, best = Counter(sizes), fewest(sizes, room)
+        assert packing.bound(counts, room) <= best == sum(n for _, n in packing.bin_completion(dict(counts), room, steps=10**6))
+        beaten += sum(n for _, n in packing.best_fit(counts, room)) > best
+    assert beaten
+
+
+def test_bin_completion_solves_planted_packings():
+    """Ten bins that three pieces each fill exactly: best-fit decreasing misses nearly all of them."""
+    for seed in range(30):
+        rng, sizes = random.Random(seed), []
+        for _ in range(10):
+            a = rng.randint(100, 500)
+            b = rng.randint(100, 900 - a)
+            sizes += [a, b, 1000 - a - b]
+        assert sum(n for _, n in packing.bin_completion(Counter(sizes), 1000)) == 10
+        assert sum(n for _, n in packing.best_fit(Counter(sizes), 1000)) > 10
+
+
+def test_fillings_are_undominated_and_complete():
+    """Against all sub-multisets: what is left out is dominated by one piece in place of some, or has room for another."""
+    rng = random.Random(9)
+    for _ in range(200):
+        left = Counter(rng.randint(1, 12) for _ in range(rng.randint(1, 7)))
+        room, sizes = rng.randint(1, 20), sorted(left, reverse=True)
+        got = {tuple(sorted(f)): w for f, w in packing.fillings(left, sizes, room, room)}
+        every = set()
+        for take in itertools.product(*(range(left[s] + 1) for s in sizes)):
+            f = tuple(sorted(s for s, n in zip(sizes, take, strict=True) for _ in range(n)))
+            if sum(f) <= room:
+                every.add(f)
+        assert set(got) <= every and all(sum(f) + w == room for f, w in got.items()) and got
+        for f in every - set(got):
+            waste, rest = room - sum(f), left - Counter(f)
+            parts = {p for k in range(len(f) + 1) for p in itertools.combinations(f, k)}
+            assert any(sum(p) <= x <= sum(p) + waste and (x,) != p for p in parts for x in rest), (left, room, f)
+
+
+def test_bin_completion_of_nothing():
+    assert packing.bin_completion({}, 10) == [] and packing.bin_completion({3: 0}, 10) == []
 
 
 def test_pack(spark, whole):
