@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import cut, groups_in
+from lattica.llm.common import cut, groups_in, in_arrow
 from lattica.llm.components import components
 
 #: Covers the rounding of single-precision products of up to a few thousand dimensions.
@@ -110,7 +110,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 4096)
                 raw.append(x.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], ["vec_id", "raw"])
 
-    rows = cut(clean.mapInArrow(pack, "vec_id long, raw binary"))
+    rows = cut(in_arrow(clean, pack, "vec_id long, raw binary"))
     distinct = cut(rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n = distinct.count()
     blocks = max(1, -(-n // block))
@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 4096)
 
     tiles = blocks * (blocks + 1) // 2
     parts = max(1, min(tiles, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = cut(dealt.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(compare, "u long, v long, n long"))
+    found = cut(in_arrow(dealt.repartition(parts, "tile").sortWithinPartitions("tile"), compare, "u long, v long, n long"))
     links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     named = distinct.join(links, "rep", "left").join(roots, "rep", "left")

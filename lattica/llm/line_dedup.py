@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, slices, texts_of, unused
+from lattica.llm.common import cut, in_arrow, slices, texts_of, unused
 
 Pairs = list[tuple[int, int]]
 NO_ID = -(1 << 63)
@@ -128,7 +128,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["id", "version", "line", "ord", "words", "hash"])
 
-    return docs.mapInArrow(run, "id long, version long, line int, ord int, words int, hash long")
+    return in_arrow(docs, run, "id long, version long, line int, ord int, words int, hash long")
 
 
 def windows(items: list[dict], least_words: int) -> Iterator[tuple[int, int]]:
@@ -170,7 +170,7 @@ def window_keys(listed: DataFrame, least_words: int) -> DataFrame:
                             o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "version", "key"])
 
-    return listed.mapInArrow(run, "id long, version long, key long")
+    return in_arrow(listed, run, "id long, version long, key long")
 
 
 def first_holders(rows: DataFrame, by: str) -> DataFrame:
@@ -202,7 +202,7 @@ def deletions(docs: DataFrame, least_words: int = 20) -> DataFrame:
                             o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["id", "version", "gone"])
 
-    found = both.mapInArrow(align, "id long, version long, gone array<int>")
+    found = in_arrow(both, align, "id long, version long, gone array<int>")
     return found.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lattica.llm.common import cut, slices, texts_of
+from lattica.llm.common import cut, in_arrow, long_parts, per_process, slices, texts_of
 
 #: Split pattern of the tokenizer file's pre-tokenizer (a fixed value of that public file).
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -55,7 +55,7 @@ class WordTokenizer:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         import tiktoken
@@ -154,26 +154,9 @@ class WordTokenizer:
             yield self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(at) else np.zeros(0, dtype=np.uint32)
 
 
-def long_parts(text: bytes, most: int = 4 << 20) -> Iterator[bytes]:
-    """A text in parts cut at white space, of about ``most`` bytes, so that memory doesn't follow the text."""
-    low = 0
-    while len(text) - low > most:
-        high = max(text.rfind(c, low, low + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if high <= low:
-            high = min((x for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := text.find(c, low + most)) >= 0), default=len(text))
-        yield text[low:high]
-        low = high
-    yield text[low:]
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """One per process and file."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """The one of this process."""
+    return per_process(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, path: str, room: int = 2048, end_id: int = 0) -> DataFrame:
@@ -198,7 +181,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048, end_id: int = 0) -> Dat
                             o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- packing the histogram ---
@@ -425,12 +408,13 @@ def pack(parts: DataFrame, room: int = 2048, salts: int | None = None) -> DataFr
     """Add ``sequence_id`` and ``offset`` to pieces(doc_id, piece, length, ...): their place in sequences of ``room``.
 
     Ranks among pieces of a length come from windows over (length, salt) and the counts of the salts before, so a
-    length that most pieces share is not one task's. An empty table gives an empty one.
+    length that most pieces share is not one task's; the salts follow from the most frequent length. Pieces alike take places in any
+    order among themselves; repeated rows take places of their own. An empty table gives an empty one.
     """
     spark = parts.sparkSession
-    salts = salts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = cut(parts)
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # room rows at most
+    salts = salts or max(64, -(-max(counts.values(), default=0) // 20_000))
     places = spark.createDataFrame(slots(bin_completion(counts, room)), "length long, low long, high long, first long, each long, at long")
     salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

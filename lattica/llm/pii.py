@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices
+from lattica.llm.common import in_arrow, slices
 
 #: Kinds in the order of the contract; label 0 is "none of them".
 KINDS = ("email", "ip", "card", "phone")
@@ -339,7 +339,7 @@ def fit(docs: DataFrame, most: int = 3000) -> Field:
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([found[r] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "a", "b", "n"])
 
-    counted = hinted.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "part string, a long, b long, n long")  # chosen: ``most`` rows at most
+    counted = in_arrow(hinted.join(F.broadcast(chosen), "doc_id").select("text"), run, "part string, a long, b long, n long")  # chosen: ``most`` rows at most
     rows = sorted(tuple(r) for r in counted.groupBy("part", "a", "b").agg(F.sum("n").alias("n")).collect())
     tokens = np.array([r[1:] for r in rows if r[0] == "token"], dtype=np.int64).reshape(-1, 3)
     edges = {name: np.zeros((N_LABELS, N_LABELS)) for name in ("chain", "skip")}
@@ -376,4 +376,4 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 strings = [pa.array([written(x) for x in xs], pa.string()) for xs in ([b for b, _ in found], private, secrets)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *counts, *strings, pa.array([len(e) for _, e in found], pa.int64())], [*kept, *names, *more, "n_all"])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept, "text"), run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import slices, texts_of
+from lattica.llm.common import in_arrow, long_parts, slices, texts_of
 
 STATS = (
     "n_words", "word_length", "longest_word", "symbols", "bangs", "bars", "digits", "upper", "commas", "stops", "other_punct", "non_ascii",
@@ -26,26 +26,43 @@ _IN = {name: np.isin(_BYTES, list(chars)) for name, chars in {"symbols": b"#*$%&
 _UPPER, _LOWER, _HIGH, _SPACE = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 97) & (_BYTES <= 122), _BYTES >= 128, np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
 
 
-def statistics(text: bytes) -> list[float]:
-    """The values of STATS for one text; all zero for one without words."""
-    words = text.split()
-    n = len(words)
-    if not n:
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and numbers of the different values."""
+    _, at, times = np.unique(hashes, return_index=True, return_counts=True)
+    return at, times
+
+
+def statistics(text: bytes, part: int = 4 << 20) -> list[float]:
+    """The values of STATS for one text; all zero for one without words. Words and lines are held as hashes, so memory stays a few times the text."""
+    from xxhash import xxh64_intdigest
+
+    hashes, lead, longest = [], [], 0
+    for some in long_parts(text, part):
+        if words := some.split():
+            hashes.append(np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
+            lead.append(np.fromiter((w[0] for w in words), dtype=np.uint8, count=len(words)))
+            longest = max(longest, *map(len, words))
+    if not hashes:
         return [0.0] * len(STATS)
-    count = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    word, lead = np.concatenate(hashes), np.concatenate(lead)
+    n = len(word)
+    raw = np.frombuffer(text, dtype=np.uint8)
+    count = sum(np.bincount(raw[k : k + (1 << 20)], minlength=256) for k in range(0, len(raw), 1 << 20))
     solid = int(count[~_SPACE].sum())
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    seen = set(lines)
-    times: dict[bytes, int] = {}
-    for w in words:
-        times[w] = times.get(w, 0) + 1
-    windows = len(set(zip(words, words[1:], words[2:], strict=False))) if n > 2 else 1
+    lines = []
+    for k, some in enumerate(long_parts(text, part, b"\n")):
+        if own := [x for x in (some[1:] if k else some).split(b"\n") if x.strip()]:
+            lines.append((np.fromiter(map(xxh64_intdigest, own), np.uint64, len(own)), np.fromiter(map(len, own), np.int64, len(own)), np.fromiter((x.rstrip()[-1] in b".!?" for x in own), bool, len(own))))
+    line, width, stop = (np.concatenate(x) for x in zip(*lines, strict=True))
+    seen, _ = _distinct(line)
+    first, times = _distinct(word)
+    three = (word[:-2] * np.uint64(0x9E3779B97F4A7C15) + word[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + word[2:] if n > 2 else word[:1]
     share = {name: count[mask].sum() / n for name, mask in _IN.items()}
     upper, lower = int(count[_UPPER].sum()), int(count[_LOWER].sum())
     return [
-        float(n), solid / n, float(max(map(len, times))), share["symbols"], share["bangs"], share["bars"], count[_IN["digits"]].sum() / solid, upper / max(1, upper + lower),
-        share["commas"], share["stops"], share["other_punct"], count[_HIGH].sum() / solid, n / len(lines), sum(x.rstrip()[-1:] in b".!?" for x in lines) / len(lines),
-        1 - len(seen) / len(lines), 1 - sum(map(len, seen)) / sum(map(len, lines)), len(times) / n, max(times.values()) / n, 1 - windows / max(1, n - 2), sum(w[:1].isupper() for w in times) / len(times),
+        float(n), solid / n, float(longest), share["symbols"], share["bangs"], share["bars"], count[_IN["digits"]].sum() / solid, upper / max(1, upper + lower),
+        share["commas"], share["stops"], share["other_punct"], count[_HIGH].sum() / solid, n / len(line), stop.mean(),
+        1 - len(seen) / len(line), 1 - width[seen].sum() / width.sum(), len(times) / n, times.max() / n, 1 - len(np.unique(three)) / max(1, n - 2), _UPPER[lead[first]].mean(),
     ]
 
 
@@ -62,7 +79,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 values = np.array([statistics(t) for t in texts_of(batch.column("text"))], dtype=np.float64).reshape(-1, len(STATS))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v) for v in values.T)], [*kept, *(f"_stat_{k}" for k in range(len(STATS)))])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept, "text"), run, schema)
 
 
 Condition = tuple[int, bool, float]  # statistic, above?, threshold
@@ -175,7 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """docs without text, plus ``score``. Null and empty texts score by zero statistics. ``score`` in docs is replaced."""
+    """docs without text, plus ``score``.
+
+    Null and empty texts score by zero statistics, a text of any length is measured whole. Rows are scored one by one: repeated
+    rows score alike, an empty table gives an empty one. ``score`` in docs is replaced.
+    """
     kept = [c for c in docs.columns if c not in ("score", "text") and not c.startswith("_stat_")]
     rows = measured(docs.select(*kept, "text"))
     return rows.select(*kept, model.column([F.col(f"_stat_{k}") for k in range(len(STATS))]).alias("score"))
