@@ -1,8 +1,10 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the sum of embeddings of its character trigrams and of the word itself. Windows of 32 words that overlap by
-a quarter cover the whole text; a text scores as its most toxic window. Training is multiple-instance: a
-document's label goes to the window that scores highest at the time, beside random windows of documents without the label.
+A word enters as the sum of embeddings of its character trigrams, of its runs of five characters and of the word itself; only features
+whose share differs clearly between the labels have an embedding, so that few labels don't teach the network
+single documents by heart. Windows of 32 words that overlap by a quarter cover the whole text; a text scores as its most toxic window.
+Training is multiple-instance: a document's label goes to the window that scores highest at the time, beside random windows of
+documents without the label.
 """
 
 from __future__ import annotations
@@ -15,31 +17,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER_AZ, slices, texts_of
+from lattica.llm.common import LOWER_AZ, in_arrow, per_process, slices, texts_of
 
 WINDOW, STRIDE = 32, 24
-BUCKETS, WIDTH, HIDDEN = 1 << 15, 16, 8
+BUCKETS, WIDTH, HIDDEN = 1 << 18, 16, 8
+#: A feature is learned if this many documents hold it and the log odds of its label are this many standard deviations off.
+LEAST_HELD, LEAST_ODDS = 3, 2.0
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, starts): for each word the buckets of its character trigrams and, last, of the word itself."""
+    """(buckets, starts): for each word the buckets of its character trigrams, of its runs of five characters and, last, of the word itself."""
     raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), dtype=np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     end = np.cumsum(size)
-    code = raw.copy()
-    code[:-1] |= raw[1:] << np.uint64(8)
-    code[:-2] |= raw[2:] << np.uint64(16)
-    # a word's last two positions hold no trigram: the last one takes the whole word, the other goes
-    mixed = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    three = raw.copy()
+    three[:-1] |= raw[1:] << np.uint64(8)
+    three[:-2] |= raw[2:] << np.uint64(16)
+    five = three.copy()
+    five[:-3] |= raw[3:] << np.uint64(24)
+    five[:-4] |= raw[4:] << np.uint64(32)
     place = np.arange(len(raw)) - np.repeat(end - size, size)
+    left = np.repeat(size, size) - place  # characters from here to the word's end; runs beyond it don't count
+    mixed = (three + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     powers = (mixed ^ (mixed >> np.uint64(29))) * (np.uint64(2) * place.astype(np.uint64) + np.uint64(0xBF58476D1CE4E5B9))
-    powers[end - 1] = powers[end - 2] = 0  # these reach into the next word
+    powers[left < 3] = 0
     whole = np.add.reduceat(powers, end - size) * np.uint64(0x94D049BB133111EB)
-    bucket = (mixed >> np.uint64(64 - 15)).astype(np.int64) % (BUCKETS // 2)
-    bucket[end - 1] = BUCKETS // 2 + (whole >> np.uint64(64 - 15)).astype(np.int64) % (BUCKETS // 2)
-    keep = np.ones(len(raw), dtype=bool)
-    keep[end - 2] = False
-    return bucket[keep], np.concatenate([[0], np.cumsum(size - 1)[:-1]])
+    longer = (five + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    longer = (longer ^ (longer >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    # a quarter of the buckets each for the two lengths, half for words
+    bucket = np.empty((len(raw), 3), dtype=np.int64)
+    bucket[:, 0] = (mixed >> np.uint64(40)).astype(np.int64) % (BUCKETS // 4)
+    bucket[:, 1] = BUCKETS // 4 + (longer >> np.uint64(40)).astype(np.int64) % (BUCKETS // 4)
+    bucket[end - 1, 2] = BUCKETS // 2 + (whole >> np.uint64(40)).astype(np.int64) % (BUCKETS // 2)
+    keep = np.stack([left >= 3, left >= 5, left == 1], axis=1)
+    count = np.add.reduceat(keep.sum(axis=1), end - size)
+    return bucket[keep], np.cumsum(count) - count
 
 
 def windows(count: int) -> list[tuple[int, int]]:
@@ -53,22 +65,34 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Weights, by name: embeddings e; per direction input w, bias b, recurrent u; attention a; output o and bias c."""
+    """Weights, by name: embeddings e; per direction input w, bias b, recurrent u; attention a; output o and bias c.
+
+    ``kept`` holds the buckets that have an embedding, in order; the last row of e, zero, stands for all others.
+    """
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     @classmethod
-    def fresh(cls, seed: int = 7) -> Network:
+    def fresh(cls, kept: np.ndarray, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
-        p = {"e": draw(BUCKETS, WIDTH, s=0.1), "a": draw(2 * HIDDEN, s=0.5), "o": draw(2 * HIDDEN, s=0.5), "c": np.full(1, -1.0, np.float32)}
+        p = {"e": draw(len(kept) + 1, WIDTH, s=0.1), "a": draw(2 * HIDDEN, s=0.5), "o": draw(2 * HIDDEN, s=0.5), "c": np.full(1, -1.0, np.float32)}
+        p["e"][-1] = 0
         for d in "fb":
             p |= {f"w{d}": draw(WIDTH, 3 * HIDDEN, s=0.3), f"b{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": draw(HIDDEN, 3 * HIDDEN, s=0.3)}
-        return cls(p)
+        return cls(p, kept)
 
-    def word_vectors(self, words: list[bytes]) -> np.ndarray:
+    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of e, starts) of the words' features."""
         bucket, start = features(words)
-        return np.add.reduceat(self.p["e"][bucket], start, axis=0)
+        at = np.searchsorted(self.kept, bucket)
+        at[at == len(self.kept)] = 0
+        return (np.where(self.kept[at] == bucket, at, len(self.kept)) if len(self.kept) else at), start
+
+    def word_vectors(self, words: list[bytes]) -> np.ndarray:
+        row, start = self.rows(words)
+        return np.add.reduceat(self.p["e"][row], start, axis=0)
 
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         """Input part of both directions' gates."""
@@ -107,10 +131,10 @@ class Network:
         value = h @ self.p["o"]
         return (s * value).sum(axis=0) / s.sum(axis=0) + self.p["c"][0]
 
-    def gradients(self, bucket: np.ndarray, start: np.ndarray, index: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the weighted log loss over windows; bucket and start give the words' features."""
+    def gradients(self, row: np.ndarray, start: np.ndarray, index: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the weighted log loss over windows; row and start give the words' features."""
         p, (steps, n), k = self.p, index.shape, HIDDEN
-        vectors = np.add.reduceat(p["e"][bucket], start, axis=0)
+        vectors = np.add.reduceat(p["e"][row], start, axis=0)
         mask = (np.arange(steps)[:, None] < size)[..., None].astype(np.float32)
         h, kept = np.zeros((steps, n, 2 * k), dtype=np.float32), {}
         for d in "fb":
@@ -157,7 +181,7 @@ class Network:
             np.add.at(per_word, index.ravel(), dgates.reshape(-1, 3 * k))
             g[f"w{d}"] = vectors.T @ per_word
             dx_all += per_word @ p[f"w{d}"].T
-        g["e"] = (bucket, np.repeat(dx_all, np.diff(np.concatenate([start, [len(bucket)]])), axis=0))
+        g["e"] = (row, np.repeat(dx_all, np.diff(np.append(start, len(row))), axis=0))
         return g
 
 
@@ -170,20 +194,39 @@ def lay_out(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def telling(bucket: np.ndarray, start: np.ndarray, index: list[list[np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """The buckets whose share of documents differs clearly between the labels, in order."""
+    ends = np.append(start[1:], len(bucket))
+    held = np.zeros((2, BUCKETS))  # documents of each label that hold a feature
+    for y, wins in zip(labels, index, strict=True):
+        held[y, np.unique(np.concatenate([bucket[start[w] : ends[w]] for w in np.unique(np.concatenate(wins))]))] += 1
+    total = np.bincount(labels, minlength=2)
+    odds = np.log((held[1] + 0.5) / (total[1] + 1)) - np.log((held[0] + 0.5) / (total[0] + 1))
+    spread = np.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5))
+    return np.flatnonzero((held.sum(axis=0) >= LEAST_HELD) & (np.abs(odds) > LEAST_ODDS * spread))
+
+
 def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int = 7, rate: float = 0.01) -> Network:
     """Fit a network to (label, windows of words) of each document. Without both labels it scores everything as the only one."""
-    rng, net = np.random.default_rng(seed), Network.fresh(seed)
+    rng = np.random.default_rng(seed)
     docs = [(y, [w for w in ws if w]) for y, ws in docs]
     docs = [(y, ws) for y, ws in docs if ws]
-    labels = np.array([y for y, _ in docs])
+    labels = np.array([y for y, _ in docs], dtype=np.int64)
     if not len(docs) or labels.min() == labels.max():
+        net = Network.fresh(np.zeros(0, dtype=np.int64), seed)
         net.p["o"][:] = 0
         net.p["c"][:] = 4.0 if len(docs) and labels[0] else -4.0
         return net
     number: dict[bytes, int] = {}
     index = [[np.array([number.setdefault(w, len(number)) for w in win]) for win in ws] for _, ws in docs]
-    bucket, start = features(list(number))
-    ends = np.concatenate([start[1:], [len(bucket)]])
+    kept = telling(*features(list(number)), index, labels)
+    net = Network.fresh(kept, seed)
+    row, start = net.rows(list(number))
+    # features without an embedding go, but for the word itself, so that no word is without any
+    stays = row < len(kept)
+    stays[np.append(start[1:], len(row)) - 1] = True
+    count = np.add.reduceat(stays.astype(np.int64), start)
+    row, start, ends = row[stays], np.cumsum(count) - count, np.cumsum(count)
     flat, owner = [w for ws in index for w in ws], np.repeat(np.arange(len(docs)), [len(ws) for ws in index])
     first = np.concatenate([[0], np.cumsum([len(ws) for ws in index])])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -191,30 +234,28 @@ def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int
     grid, sizes = lay_out(flat)
     balance = {1: 0.5 * len(labels) / labels.sum(), 0: 0.5 * len(labels) / (len(labels) - labels.sum())}
     balance = {y: b**0.5 for y, b in balance.items()}  # half-way between the labels' shares and even ones
-    step = 0
     for turn in range(rounds):
-        if turn < 2:
-            chosen = np.concatenate([rng.integers(first[:-1], first[1:]) for _ in range(2)])
+        chance = rng.integers(first[:-1], first[1:])
+        if turn < 2:  # the network knows nothing yet
+            chosen = np.concatenate([chance, rng.integers(first[:-1], first[1:])])
         else:
-            gates = net.gates(np.add.reduceat(net.p["e"][bucket], start, axis=0))
+            gates = net.gates(np.add.reduceat(net.p["e"][row], start, axis=0))
             score = np.concatenate([net.logits(gates, grid[:, k : k + 4096], sizes[k : k + 4096]) for k in range(0, len(flat), 4096)])
-            order = np.lexsort((score, owner))
-            top = order[first[1:] - 1]
-            chosen = np.concatenate([top, rng.integers(first[:-1], first[1:])[labels == 0]])
+            chosen = np.concatenate([np.lexsort((score, owner))[first[1:] - 1], chance[labels == 0]])
         for _ in range(max(1, 1500 // max(1, len(chosen)))):  # few documents: more passes a round
             chosen = rng.permutation(chosen)
             for low in range(0, len(chosen), 64):
                 at = chosen[low : low + 64]
                 words, local = np.unique(grid[:, at], return_inverse=True)
-                spans = [np.arange(start[w], ends[w]) for w in words]
+                own = np.concatenate([row[start[w] : ends[w]] for w in words])
                 y = labels[owner[at]]
-                g = net.gradients(bucket[np.concatenate(spans)], np.concatenate([[0], np.cumsum([len(s) for s in spans])[:-1]]), local.reshape(len(grid), -1), sizes[at], y, np.array([balance[int(b)] for b in y], np.float32))
-                step += 1
+                g = net.gradients(own, np.concatenate([[0], np.cumsum(ends[words] - start[words])[:-1]]), local.reshape(len(grid), -1), sizes[at], y, np.array([balance[int(b)] for b in y], np.float32))
                 for name, grad in g.items():
-                    if name == "e":  # rows touched only
+                    if name == "e":  # rows touched only, and never the last
                         rows, where = np.unique(grad[0], return_inverse=True)
                         total = np.zeros((len(rows), WIDTH), np.float32)
                         np.add.at(total, where, grad[1])
+                        total, rows = total[rows < len(kept)], rows[rows < len(kept)]
                         m[name][rows] = 0.9 * m[name][rows] + 0.1 * total
                         v[name][rows] = 0.99 * v[name][rows] + 0.01 * total**2
                         net.p[name][rows] -= rate * m[name][rows] / (np.sqrt(v[name][rows]) + 1e-6)
@@ -228,7 +269,7 @@ def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int
 class Scorer:
     """Scores texts with a network; keeps the gates of words it has met."""
 
-    def __init__(self, net: Network, most: int = 250_000):
+    def __init__(self, net: Network, most: int = 100_000):
         self.net, self.most = net, most
         self.known: dict[bytes, int] = {}
         self.gates = np.zeros((1 << 14, 6 * HIDDEN), dtype=np.float32)
@@ -276,10 +317,7 @@ class Scorer:
         return sigmoid(best.astype(np.float64))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = 2400, most_windows: int = 40) -> list[tuple[int, list[list[bytes]]]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = 2400, most_windows: int = 400) -> list[tuple[int, list[list[bytes]]]]:
     """Training documents: at most ``most`` labelled rows, by the hash of their id, with at most ``most_windows`` windows each, spread evenly.
 
     These bounds hold for training alone. A document with several labels counts as the greatest; null labels don't count.
@@ -301,28 +339,30 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = 2400, mos
                 out[2].append([b" ".join(words[a:b]) for a, b in spans])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.binary()))], ["doc_id", "y", "wins"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, wins array<binary>").collect()  # chosen: ``most`` rows at most
+    rows = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), run, "doc_id long, y int, wins array<binary>").collect()  # chosen: ``most`` rows at most
     rows.sort(key=lambda r: (r["doc_id"], len(r["wins"]), b"".join(r["wins"][:1])))
     return [(r["y"], [bytes(w).split() for w in r["wins"]]) for r in rows]
 
 
 def score_texts(docs: DataFrame, net: Network, text: bool = False) -> DataFrame:
-    """docs plus ``score``, 0 to 1, and, unless ``text`` is asked for, without text. Null and empty texts get the score of a text without words. ``score`` in docs is replaced."""
+    """docs plus ``score``, 0 to 1, and, unless ``text`` is asked for, without text.
+
+    Null and empty texts get the score of a text without words, a text of any length is scored whole. Rows are scored one by
+    one: repeated rows score alike, an empty table gives an empty one. ``score`` in docs is replaced.
+    """
     kept = [c for c in docs.columns if c != "score"]
     key = f"{hash(tuple(float(x.sum()) for x in net.p.values()))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(net)
+        scorer = per_process(("toxicity", key), lambda: Scorer(net))
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                score = pa.array(_SCORERS[key].scores(texts_of(batch.column("text"))))
+            for batch in slices(whole, "text", 1 << 20):
+                score = pa.array(scorer.scores(texts_of(batch.column("text"))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in back), score], [*back, "score"])
 
     back = [c for c in kept if text or c != "text"]
     schema = docs.select(*back).schema.add("score", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return in_arrow(docs.select(*kept), run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2400) -> Network:

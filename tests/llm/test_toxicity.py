@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from lattica.llm import toxicity as t
@@ -5,17 +7,18 @@ from tests.llm.helpers import documents, words
 
 
 def test_gradients():
-    net = t.Network.fresh(1)
+    some = [b"abc", b"idiot", b"x", b"hello", b"zz"]
+    net = t.Network.fresh(np.unique(t.features(some)[0])[::2], 1)  # every second feature has an embedding
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    bucket, start = t.features([b"abc", b"idiot", b"x", b"hello", b"zz"])
+    row, start = net.rows(some)
     index, size, y = np.array([[0, 1, 2], [3, 4, 0], [1, 0, 0]]), np.array([3, 2, 3]), np.array([1, 0, 1])
 
     def loss():
-        logit = net.logits(net.gates(np.add.reduceat(net.p["e"][bucket], start, axis=0)), index, size).astype(float)
+        logit = net.logits(net.gates(np.add.reduceat(net.p["e"][row], start, axis=0)), index, size).astype(float)
         p = t.sigmoid(logit)
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    g = net.gradients(bucket, start, index, size, y, np.ones(3))
+    g = net.gradients(row, start, index, size, y, np.ones(3))
     for name in ("uf", "ub", "wf", "wb", "bf", "bb", "a", "o", "c"):
         at = tuple(0 for _ in net.p[name].shape)
         old = net.p[name][at]
@@ -27,6 +30,47 @@ def test_gradients():
         assert abs((up - down) / 2e-2 - g[name][at]) < 1e-3 * max(1e-2, abs(g[name][at])) + 2e-6, name
 
 
+def plain_logit(net, words):
+    """The network word by word and unit by unit, after its definition."""
+    p, k, sig = {n: v.astype(float) for n, v in net.p.items()}, t.HIDDEN, lambda x: 1 / (1 + math.exp(-x))
+    vectors = []
+    for w in words:
+        row, _ = net.rows([w])
+        vectors.append([sum(p["e"][r][i] for r in row) for i in range(t.WIDTH)])
+    states = {}
+    for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        h = [0.0] * k
+        for at in order:
+            x = [sum(vectors[at][i] * p[f"w{d}"][i][j] for i in range(t.WIDTH)) + p[f"b{d}"][j] for j in range(3 * k)]
+            y = [sum(h[i] * p[f"u{d}"][i][j] for i in range(k)) for j in range(3 * k)]
+            z, r = ([sig(x[o + j] + y[o + j]) for j in range(k)] for o in (0, k))
+            new = [math.tanh(x[2 * k + j] + r[j] * y[2 * k + j]) for j in range(k)]
+            h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(k)]
+            states[d, at] = h
+    both = [states["f", at] + states["b", at] for at in range(len(words))]
+    weight = [math.exp(sum(a * b for a, b in zip(p["a"], h, strict=True))) for h in both]
+    pooled = [sum(w * h[j] for w, h in zip(weight, both, strict=True)) / sum(weight) for j in range(2 * k)]
+    return sum(a * b for a, b in zip(p["o"], pooled, strict=True)) + p["c"][0]
+
+
+def test_forward_pass_against_the_definition():
+    net = t.Network.fresh(np.arange(0, t.BUCKETS, 2), 5)
+    net.p = {n: 3 * v for n, v in net.p.items()}
+    scorer = t.Scorer(net)
+    for n in (1, 3, 32, 57, 90):
+        own = " ".join(words(n, 40 + n)).encode().split()
+        want = max(plain_logit(net, own[a:b]) for a, b in t.windows(n))
+        assert abs(math.log(1 / scorer.scores([b" ".join(own)])[0] - 1) + want) < 1e-3
+
+
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    some = [b"a", b"ab", b"abc", b"abcdef", "é".encode(), b"x" * 40]
+    bucket, start = t.features(some)
+    for k, w in enumerate(some):
+        own, _ = t.features([w])
+        assert own.tolist() == bucket[start[k] : [*start[1:], len(bucket)][k]].tolist() and len(own) == len(w) + max(0, len(w) - 2) + 1
+
+
 def test_windows_cover_every_word():
     for n in (1, 2, 31, 32, 33, 40, 56, 57, 500, 1001):
         spans = t.windows(n)
@@ -35,7 +79,7 @@ def test_windows_cover_every_word():
 
 
 def test_scorer_equals_the_windows_one_by_one():
-    net = t.Network.fresh(3)
+    net = t.Network.fresh(np.arange(0, t.BUCKETS, 2), 3)
     scorer = t.Scorer(net, most=50)
     texts = [" ".join(words(n, n)).encode() for n in (1, 5, 31, 32, 33, 39, 40, 41, 56, 57, 100, 333)] + [b"", b" \n", "É ü".encode()]
     got = scorer.scores(texts)
@@ -80,4 +124,4 @@ def test_one_label_none_and_nothing(spark):
     for labels, low in (([(1, 0), (2, 0)], True), ([], True), ([(1, 1)], False)):
         net = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert all((r["score"] < 0.3) == low for r in t.score_texts(docs, net).collect())
-    assert t.score_texts(docs.limit(0), t.Network.fresh()).collect() == []
+    assert t.score_texts(docs.limit(0), t.Network.fresh(np.arange(0))).collect() == []
