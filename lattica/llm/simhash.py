@@ -16,10 +16,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER_AZ, cut, groups_in, slices, texts_of
+from lattica.llm.common import LOWER_AZ, cut, groups_in, in_arrow, slices, texts_of
 from lattica.llm.components import components
 
 #: Widths and low bits of the ring's segments.
@@ -29,7 +29,15 @@ MASKS = tuple(((1 << w) - 1) << low for w, low in zip(WIDTHS, LOWS, strict=True)
 BITS = 4
 
 
-def fingerprint(text: bytes, size: int = 4, block: int = 1 << 14) -> int:
+def majority(h: np.ndarray, block: int = 1 << 14) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), block):
+        ones += np.unpackbits(h[k : k + block].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, size: int = 4) -> int:
     """The SimHash of a text's word shingles (XXH64 with seed 42); 0 for a text without words."""
     from xxhash import xxh64_intdigest
 
@@ -42,11 +50,7 @@ def fingerprint(text: bytes, size: int = 4, block: int = 1 << 14) -> int:
     low = np.concatenate([[0], ends[: n - 1]])
     high = ends[min(size, len(words)) - 1 :][:n] - 1
     cuts = map(slice, low.tolist(), high.tolist())
-    h = np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), dtype=np.uint64, count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, block):
-        ones += np.unpackbits(h[k : k + block].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), dtype=np.uint64, count=n))
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -58,7 +62,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
                 fp = np.array([fingerprint(t, size) for t in texts_of(batch.column("text"))], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def buckets_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,6 +83,22 @@ def buckets_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys).view(np.int64), np.concatenate(who).view(np.int64), np.concatenate(exact)
 
 
+def ring(x: Column, bits: int) -> Column:
+    """Whether ``x``, the exclusive or of two fingerprints, has a start on the ring from which every chain of segments keeps its budget.
+
+    True of all pairs that differ in ``bits`` or fewer, and, as the chain of all segments counts, of no others.
+    """
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    out = F.lit(False)
+    for start in range(5):
+        mask, holds = 0, F.lit(True)
+        for k in range(1, 6):
+            mask |= MASKS[(start + k - 1) % 5]
+            holds &= F.bit_count(x.bitwiseAND(F.lit(signed(mask)))) <= bits * k // 5
+        out |= holds
+    return out
+
+
 def near(one: np.uint64, others: np.ndarray, start: int, bits: int = BITS) -> np.ndarray:
     """Which of ``others`` differ from ``one`` in at most ``bits``: chains from ``start`` first, then all bits."""
     x = others ^ one
@@ -123,7 +143,7 @@ def links(prints: DataFrame, block: int = 16_384) -> DataFrame:
                 key, who, exact = buckets_of(np.ascontiguousarray(fp[low : low + 50_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(exact)], ["bucket", "fp", "exact"])
 
-    rows = prints.select("fp").mapInArrow(deal, "bucket long, fp long, exact boolean")
+    rows = in_arrow(prints.select("fp"), deal, "bucket long, fp long, exact boolean")
     n = prints.count()
     block = max(block, 5 * n // 100_000)
     large = cut(rows.where("exact").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block))
@@ -153,20 +173,22 @@ def links(prints: DataFrame, block: int = 16_384) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (u, v)], ["u", "v"])
 
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    return tiles.repartition(int(parts), "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(link, "u long, v long")
+    return in_arrow(tiles.repartition(int(parts), "bucket", "tile").sortWithinPartitions("bucket", "tile"), link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
     Fingerprints at 4 or fewer differing bits are linked; component_id is the least doc_id reachable. Texts without
-    words share fingerprint zero. Repeated rows repeat in the result. A null doc_id is never the
-    least one unless its component has no other.
+    words share fingerprint zero. Repeated rows repeat in the result, an empty table gives an empty one, a text of any
+    length is read whole. A null doc_id is never the least one unless its component has no other.
     """
     prints = cut(fingerprints(docs, size))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(distinct.select("fp")))
-    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(names, "root").select("fp", "component_id")
+    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", "root")
+    # fingerprints without a link name themselves; the others' names are met by a join that can split a large component
+    grouped = cut(roots.where("root is not null"))
+    names = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_fp = grouped.join(names, "root").select("fp", "component_id").union(roots.where("root is null").select("fp", F.col("least").alias("component_id")))
     return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

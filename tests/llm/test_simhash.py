@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lattica.llm import simhash
+from lattica.llm import jaccard, simhash
 from tests.llm.helpers import documents, words
 
 
@@ -44,7 +45,8 @@ def test_fingerprint_against_brute_force():
         assert simhash.fingerprint(t.encode()) == brute_print(t), t
         assert simhash.fingerprint(t.encode(), 5) == brute_print(t, 5), t
     long = " ".join(words(40_000, 2))
-    assert simhash.fingerprint(long.encode(), block=1000) == simhash.fingerprint(long.encode())
+    hashes = np.array([xxh64_intdigest(w.encode()) for w in long.split()], dtype=np.uint64)
+    assert simhash.majority(hashes, block=1000) == simhash.majority(hashes)
 
 
 def test_pigeonring_buckets_lose_no_link():
@@ -114,3 +116,30 @@ def test_near_duplicates_against_brute_force(spark):
     want = Counter(zip([r[0] for r in rows], [f"{p:016x}" for p in prints], brute_components([r[0] for r in rows], prints), strict=True))
     assert Counter(tuple(r) for r in got) == want
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_ring_passes_the_pairs_within_the_budget_alone(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(600):
+        x = 0
+        for b in rng.sample(range(64), rng.randrange(40)):
+            x |= 1 << b
+        rows.append((x - (1 << 64) if x >> 63 else x, x.bit_count()))
+    df = spark.createDataFrame(rows, "x long, n int")
+    for bits in (4, 26):
+        assert all(r["ok"] == (r["n"] <= bits) for r in df.select("n", simhash.ring(F.col("x"), bits).alias("ok")).collect())
+
+
+def test_similar_sets_stay_within_the_wide_budget():
+    """Sets of similarity 0.8 against the budget of the near-duplicate stage, unrelated ones beyond it for the most part."""
+    rng = np.random.default_rng(3)
+    for n in (9, 45, 450):
+        far, apart = [], []
+        for _ in range(300):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+            b = a.copy()
+            b[: n // 9] = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64) * np.uint64(2)
+            far.append((simhash.majority(a) ^ simhash.majority(b)).bit_count())
+            apart.append((simhash.majority(a) ^ simhash.majority(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).bit_count())
+        assert max(far) <= jaccard.BITS and np.mean(np.array(apart) > jaccard.BITS) > 0.8
