@@ -11,6 +11,7 @@ find their place in it by their rank among the pieces of the same length.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zlib
@@ -252,12 +253,25 @@ def dominated(filling: tuple[int, ...], waste: int, left: dict[int, int], there:
     return any((more << d) & there or (d and (one << d) & there) for d in range(waste + 1))
 
 
-def fillings(left: dict[int, int], sizes: list[int], room: int, most_waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+class Work:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.steps = steps
+
+    def step(self) -> bool:
+        self.steps -= 1
+        return self.steps > 0
+
+
+def fillings(left: dict[int, int], sizes: list[int], room: int, most_waste: int, work: Work | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
     """(filling, waste): every undominated way to fill ``room`` from ``left`` with at most ``most_waste`` left over, least waste first.
 
     A piece that fits exactly dominates all others. Pairs come first among those without waste, as they are found without a
     table; the others come from sums that a bit set for each size shows to be reachable. Nothing is worked out before it is asked for.
+    With ``work``, each filling looked at is a step, and the rest is left out once there are none.
     """
+    work = work or Work(1 << 62)
     fit = sizes[bisect_left(sizes, -room, key=int.__neg__) :]
     if fit and fit[0] == room:
         yield (room,), 0
@@ -278,6 +292,7 @@ def fillings(left: dict[int, int], sizes: list[int], room: int, most_waste: int)
             yield (a, room - a), 0
     there, reach = sum(1 << s for s in fit), [1] * (len(fit) + 1)
     mask = (1 << (room + 1)) - 1
+    work.steps -= len(fit) // 16
     for k in range(len(fit) - 1, -1, -1):  # sums of pieces from the k-th size on
         sums, n, each = reach[k + 1], min(left[fit[k]], room // fit[k]), 1
         while n:
@@ -300,6 +315,8 @@ def fillings(left: dict[int, int], sizes: list[int], room: int, most_waste: int)
 
     for waste in range(min(most_waste, room) + 1):
         for filling in exact(0, room - waste, ()):
+            if not work.step():
+                return
             if waste or len(filling) > 2:
                 used = Counter(filling)
                 free = next((s for s in reversed(fit) if left[s] > used[s]), room + 1)  # the least piece that stays out
@@ -307,52 +324,71 @@ def fillings(left: dict[int, int], sizes: list[int], room: int, most_waste: int)
                     yield filling, waste
 
 
-def bin_completion(counts: dict[int, int], room: int, steps: int = 40_000) -> list[tuple[tuple[int, ...], int]]:
+def bin_completion(counts: dict[int, int], room: int, steps: int = 200_000, rounds: int = 8) -> list[tuple[tuple[int, ...], int]]:
     """Bins for ``counts`` of lengths: [(lengths of a bin, how many such bins)].
 
     Branch and bound. The best-fit-decreasing packing is the incumbent. A node takes the largest length left, its branches are the
     undominated fillings beside it, each applied as often as the counts allow, then once less and so on; a filling branched on before is not
     taken again for that length, so no packing is met twice. A branch ends once its waste, with the waste that is
     unavoidable in the rest, cannot beat the incumbent. The first packing found replaces an incumbent that is as good, and the
-    search ends where the incumbent meets the bound. Otherwise the result is optimal unless ``steps`` nodes were not enough
-    to end the search; it then is the best packing met, never a partial one.
+    search ends where the incumbent meets the bound, or with all branches seen: then the result is optimal. ``steps``, nodes and fillings
+    looked at, are shared by ``rounds`` of the search that differ in the order of branches; if none of them ends, the result
+    is the best packing met, never a partial one.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
         return []
-    best = best_fit(counts, room)
-    most, least = sum(n for _, n in best), bound(counts, room)
+    best, least = best_fit(counts, room), bound(counts, room)
+    most = sum(n for _, n in best) + 1  # the first packing may be as good as the incumbent
+    for k in range(rounds):
+        found, ended = _search(counts, room, most, least, Work(steps // rounds), np.random.default_rng(k) if k else None)
+        if found is not None:
+            best = found
+        most = sum(n for _, n in best)
+        if ended or most <= least:
+            break
+    return best
+
+
+def _search(counts: dict[int, int], room: int, most: int, least: int, work: Work, rng: np.random.Generator | None) -> tuple[list | None, bool]:
+    """(the best packing in under ``most`` bins, whether nothing better is left), by one depth-first search."""
     left, used, total = dict(counts), 0, sum(s * n for s, n in counts.items())
     sizes = sorted(left, reverse=True)
     done: list[tuple[tuple[int, ...], int]] = []
+    best: list | None = None
 
     def branches(banned: frozenset) -> Iterator[tuple[tuple[int, ...], int, frozenset]]:
         """(bin, times, fillings that a node below with the same largest length leaves out) at the present counts."""
         top, own = sizes[0], banned
-        spare = (most - 1 - used) * room - total
-        left[top] -= 1
-        now = sizes if left[top] else sizes[1:]
-        ways = fillings(left, now, room - top, spare)
+        ways: Iterator | None = None
+        ahead: list = []
         while True:
-            # the generator reads the counts of this node: they are as it left them whenever it goes on
-            way = next(ways, None)
+            # fillings are worked out with the largest piece taken; the counts are those of this node whenever it goes on
+            left[top] -= 1
+            if ways is None:
+                ways = fillings(left, sizes if left[top] else sizes[1:], room - top, (most - 1 - used) * room - total, work)
+            if rng is not None:  # a few at a time, in an order of chance
+                if not ahead:
+                    ahead = list(itertools.islice(ways, 3))
+                    rng.shuffle(ahead)
+                way = ahead.pop() if ahead else None
+            else:
+                way = next(ways, None)
             left[top] += 1
             if way is None:
                 return
-            filling, waste = (top, *way[0]), way[1]
+            filling, waste = (top, *way[0]), int(way[1])
             if filling not in own:
                 need = Counter(filling)
-                times = min(left[s] // n for s, n in need.items())
                 own = own | {filling}
-                while times:
+                for times in range(min(left[s] // n for s, n in need.items()), 0, -1):
                     if waste * times <= (most - 1 - used) * room - total:
                         yield filling, times, own
-                    times -= 1
-            left[top] -= 1
 
-    most += 1  # the first packing may be as good as the incumbent
     frames = [branches(frozenset())]
-    while frames and steps > 0:
+    while frames:
+        if not work.step():
+            return best, False
         branch = next(frames[-1], None)
         if branch is None:
             frames.pop()
@@ -361,7 +397,6 @@ def bin_completion(counts: dict[int, int], room: int, steps: int = 40_000) -> li
                 used, total = used - done[-1][1], total + done[-1][1] * sum(done[-1][0])
                 done.pop()
             continue
-        steps -= 1
         filling, times, own = branch
         _apply(left, sizes, branch[:2], 1)
         done.append((filling, times))
@@ -369,14 +404,14 @@ def bin_completion(counts: dict[int, int], room: int, steps: int = 40_000) -> li
         if not total:
             best, most = list(done), used
             if most <= least:
-                break
+                return best, True
         elif used < most and total + unavoidable(left, sizes, room) <= (most - 1 - used) * room:
             frames.append(branches(own if sizes[0] == filling[0] else frozenset()))
             continue
         _apply(left, sizes, done[-1], -1)
         used, total = used - times, total + times * sum(filling)
         done.pop()
-    return best
+    return best, work.steps > 0
 
 
 def _apply(left: dict[int, int], sizes: list[int], bins: tuple[tuple[int, ...], int], sign: int) -> None:
