@@ -45,7 +45,7 @@ cypher("index_scan", "MATCH (c:Customer) WHERE c.c_acctbal >= 5000 AND c.c_acctb
 cypher("id_anchor", "MATCH (c:Customer) WHERE id(c) IN [562949953421317, 562949953421319] RETURN c.c_custkey AS key", "SELECT c_custkey AS key FROM customer WHERE c_custkey IN (5, 7)")
 cypher("filter_3vl", "MATCH (c:Customer) WHERE NOT (c.c_acctbal < 0 OR c.missing = 1) OR c.c_custkey < 3 RETURN c.c_custkey AS key", "SELECT c_custkey AS key FROM customer WHERE c_custkey < 3")
 cypher("inline_props", "MATCH (c:Customer {c_mktsegment: 'BUILDING'}) RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
-cypher("param_filter", "MATCH (p:Part) WHERE p.p_size > $size AND p.p_type IN $types RETURN p.p_partkey AS key", None, size=40, types=["x"])
+cypher("param_filter", "MATCH (p:Part) WHERE p.p_size > $size AND p.p_type IN $types RETURN p.p_partkey AS key", "SELECT p_partkey AS key FROM part WHERE p_size > 40 AND p_type IN ('STANDARD', 'PROMO')", size=40, types=["STANDARD", "PROMO"])
 cypher("label_count", "MATCH (o:Order) RETURN count(o) AS n", "SELECT count(*) AS n FROM orders")
 cypher("edge_count", "MATCH ()-[r:PLACED]->() RETURN count(r) AS n", "SELECT count(*) AS n FROM orders")
 cypher("edge_type_count", "MATCH (s:Supplier)-[r]->(x) RETURN type(r) AS t, count(r) AS n", "SELECT 'BASED_IN' AS t, count(*) AS n FROM supplier UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
@@ -67,8 +67,8 @@ cypher("undirected_hop", "MATCH (n:Nation)-[r]-(x) RETURN n.n_name AS name, coun
 cypher("multi_type", "MATCH (x)-[:LIVES_IN|BASED_IN]->(n:Nation) RETURN n.n_name AS name, count(x) AS n", "SELECT n_name AS name, count(*) AS n FROM nation JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON k = n_nationkey GROUP BY 1")
 cypher("expand_into", "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation)<-[:LIVES_IN]-(c:Customer)-[:PLACED]->(o:Order)-[:SUPPLIED_BY]->(s) RETURN n.n_name AS name, count(*) AS n",
        "SELECT n_name AS name, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey = s_suppkey GROUP BY 1")
-cypher("edge_isomorphism", "MATCH (o1:Order)-[e1:CONTAINS]->(p:Part)<-[e2:CONTAINS]-(o2:Order) WHERE p.p_partkey < 20 RETURN p.p_partkey AS p, count(*) AS n",
-       "WITH l AS (SELECT *, row_number() OVER () AS rid FROM lineitem WHERE l_partkey < 20) SELECT a.l_partkey AS p, count(*) AS n FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.rid <> b.rid GROUP BY 1")
+cypher("edge_isomorphism", "MATCH (o1:Order)-[e1:CONTAINS]->(p:Part)<-[e2:CONTAINS]-(o2:Order) RETURN p.p_partkey AS p, count(*) AS n",
+       "WITH l AS (SELECT *, row_number() OVER () AS rid FROM lineitem) SELECT a.l_partkey AS p, count(*) AS n FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.rid <> b.rid GROUP BY 1")
 cypher("edge_props", "MATCH (o:Order)-[e:CONTAINS]->(p:Part) WHERE e.l_quantity > 45 AND p.p_size < 5 RETURN o.o_orderkey AS o, e.l_linenumber AS line, e.l_quantity AS q",
        "SELECT l_orderkey AS o, l_linenumber AS line, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 AND p_size < 5")
 cypher("multi_match", "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) MATCH (c:Customer)-[:LIVES_IN]->(n) WHERE c.c_acctbal > 9000 RETURN s.s_suppkey AS s, c.c_custkey AS c",
@@ -77,8 +77,8 @@ cypher("multi_path", "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation), (n)-[:IN_REGIO
        "SELECT r_name AS region, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 cypher("cartesian_theta", "MATCH (a:Nation), (b:Nation) WHERE a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey RETURN a.n_name AS a, b.n_name AS b",
        "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
-cypher("named_path", "MATCH p = (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_custkey < 50 RETURN c.c_custkey AS c, length(p) AS len, size(nodes(p)) AS nodes, [x IN nodes(p) | x.r_name][2] AS region",
-       "SELECT c_custkey AS c, 2::BIGINT AS len, 3::BIGINT AS nodes, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey < 50")
+cypher("named_path", "MATCH p = (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN c.c_custkey AS c, length(p) AS len, size(nodes(p)) AS nodes, [x IN nodes(p) | x.r_name][2] AS region",
+       "SELECT c_custkey AS c, 2::BIGINT AS len, 3::BIGINT AS nodes, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 
 # --- optional, exists, comprehension ---
 
@@ -137,10 +137,10 @@ cypher("lists", "UNWIND range(1, 6) AS n WITH n, range(1, n) AS xs RETURN n, siz
 cypher("maps", "UNWIND [1, 2, 3] AS i WITH {a: i, b: {c: i * 2}} AS m RETURN m.a AS a, m.b.c AS c, m['a'] AS a2, m.zzz AS z, keys(m) AS ks", "SELECT i AS a, i * 2 AS c, i AS a2, NULL::VARCHAR AS z, ['a', 'b'] AS ks FROM (SELECT unnest([1, 2, 3]::BIGINT[]) AS i)")
 cypher("conversions", "UNWIND ['12', '3.9', 'x', 'true'] AS s RETURN s, toInteger(s) AS i, toFloat(s) AS f, toBoolean(s) AS b, toString(toInteger(s)) AS st, coalesce(toInteger(s), -1) AS co",
        "SELECT * FROM (VALUES ('12', 12::BIGINT, 12.0::DOUBLE, NULL::BOOLEAN, '12', 12::BIGINT), ('3.9', 3, 3.9, NULL, '3', 3), ('x', NULL, NULL, NULL, NULL, -1), ('true', NULL, NULL, true, NULL, -1)) t(s, i, f, b, st, co)")
-cypher("temporal", "MATCH (o:Order) WHERE o.o_orderkey < 200 RETURN o.o_orderkey AS o, o.o_orderdate.year AS y, o.o_orderdate.month AS m, o.o_orderdate.day AS d, (o.o_orderdate + duration({days: 10, months: 1})).month AS m2, (o.o_orderdate - datetime('1995-01-01')).days AS days",
-       "SELECT o_orderkey AS o, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, month(o_orderdate + INTERVAL 1 MONTH + INTERVAL 10 DAY) AS m2, date_diff('second', TIMESTAMP '1995-01-01', o_orderdate) // 86400 AS days FROM orders WHERE o_orderkey < 200")
-cypher("entity_functions", "MATCH (s:Supplier)-[r:BASED_IN]->(n:Nation) WHERE s.s_suppkey < 20 RETURN id(s) % 1000 AS sid, type(r) AS t, labels(n) AS ls, startNode(r).s_name AS sn, endNode(r).n_name AS en, keys(n) AS ks, properties(n).n_name AS pn",
-       "SELECT (s_suppkey + 3 * 281474976710656) % 1000 AS sid, 'BASED_IN' AS t, ['Nation'] AS ls, s_name AS sn, n_name AS en, ['n_name', 'n_nationkey', 'n_regionkey'] AS ks, n_name AS pn FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey < 20")
+cypher("temporal", "MATCH (o:Order) RETURN o.o_orderkey AS o, o.o_orderdate.year AS y, o.o_orderdate.month AS m, o.o_orderdate.day AS d, (o.o_orderdate + duration({days: 10, months: 1})).month AS m2, (o.o_orderdate - datetime('1995-01-01')).days AS days",
+       "SELECT o_orderkey AS o, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, month(o_orderdate + INTERVAL 1 MONTH + INTERVAL 10 DAY) AS m2, date_diff('second', TIMESTAMP '1995-01-01', o_orderdate) // 86400 AS days FROM orders")
+cypher("entity_functions", "MATCH (s:Supplier)-[r:BASED_IN]->(n:Nation) RETURN id(s) % 1000 AS sid, type(r) AS t, labels(n) AS ls, startNode(r).s_name AS sn, endNode(r).n_name AS en, keys(n) AS ks, properties(n).n_name AS pn",
+       "SELECT (s_suppkey + 3 * 281474976710656) % 1000 AS sid, 'BASED_IN' AS t, ['Nation'] AS ls, s_name AS sn, n_name AS en, ['n_name', 'n_nationkey', 'n_regionkey'] AS ks, n_name AS pn FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 cypher("chained_comparison", "MATCH (p:Part) WHERE 10 < p.p_size <= 12 RETURN p.p_partkey AS p", "SELECT p_partkey AS p FROM part WHERE p_size > 10 AND p_size <= 12")
 cypher("star_projection", "MATCH (r:Region) WITH r.r_regionkey AS k, r.r_name AS name RETURN *", "SELECT r_regionkey AS k, r_name AS name FROM region")
 
@@ -149,12 +149,12 @@ cypher("star_projection", "MATCH (r:Region) WITH r.r_regionkey AS k, r.r_name AS
 EVENTS = "WITH nx AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)"
 cypher("varlen_1_3", "MATCH (a:Event)-[:NEXT*1..3]->(b:Event) RETURN a.event_id AS a, b.event_id AS b",
        "WITH RECURSIVE nx AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), r AS (SELECT a, b, 1 AS d FROM nx WHERE b IS NOT NULL UNION ALL SELECT r.a, nx.b, d + 1 FROM r JOIN nx ON nx.a = r.b WHERE d < 3 AND nx.b IS NOT NULL) SELECT DISTINCT a, b FROM r")
-cypher("varlen_0", "MATCH (s:Supplier)-[:BASED_IN|IN_REGION*0..2]->(x) WHERE s.s_suppkey < 10 RETURN s.s_suppkey AS s, labels(x)[0] AS label, count(*) AS n",
-       "SELECT s_suppkey AS s, unnest(['Supplier', 'Nation', 'Region']) AS label, 1::BIGINT AS n FROM supplier WHERE s_suppkey < 10")
+cypher("varlen_0", "MATCH (s:Supplier)-[:BASED_IN|IN_REGION*0..2]->(x) RETURN s.s_suppkey AS s, labels(x)[0] AS label, count(*) AS n",
+       "SELECT s_suppkey AS s, unnest(['Supplier', 'Nation', 'Region']) AS label, 1::BIGINT AS n FROM supplier")
 cypher("varlen_reach", "MATCH (u:User {user_id: 7})-[:DID]->(a:Event {event_type: 'signup'})-[:NEXT*]->(b:Event) RETURN count(DISTINCT b) AS n",
        EVENTS.replace("WITH", "WITH RECURSIVE", 1) + ", r AS (SELECT event_id AS x FROM events WHERE user_id = 7 AND event_type = 'signup' UNION SELECT nx.b FROM r JOIN nx ON nx.a = r.x WHERE nx.b IS NOT NULL) SELECT count(*) - (SELECT count(*) FROM (SELECT min(ts) FROM events WHERE user_id = 7 AND event_type = 'signup') t(m) WHERE m IS NOT NULL) AS n FROM r")
-cypher("varlen_path", "MATCH p = (a:Event)-[:NEXT*2..2]->(b:Event) WHERE a.event_id < 100 RETURN a.event_id AS a, length(p) AS len, [x IN nodes(p) | x.event_id] AS ids",
-       EVENTS + " SELECT x.a AS a, 2::BIGINT AS len, [x.a, x.b, y.b] AS ids FROM nx x JOIN nx y ON y.a = x.b WHERE x.a < 100 AND y.b IS NOT NULL")
+cypher("varlen_path", "MATCH p = (a:Event)-[:NEXT*2..2]->(b:Event) RETURN a.event_id AS a, length(p) AS len, [x IN nodes(p) | x.event_id] AS ids",
+       EVENTS + " SELECT x.a AS a, 2::BIGINT AS len, [x.a, x.b, y.b] AS ids FROM nx x JOIN nx y ON y.a = x.b WHERE y.b IS NOT NULL")
 
 
 def _copurchase_graph(spark: SparkSession, folder: str, least: int = 1) -> Graph:
@@ -168,14 +168,20 @@ def _copurchase_graph(spark: SparkSession, folder: str, least: int = 1) -> Graph
 PAIRS = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), pairs AS (SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS w FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2)"
 
 
-@coded("shortest_path", f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE w >= 2 UNION ALL SELECT b, a FROM pairs WHERE w >= 2), r AS (SELECT p_partkey AS s, p_partkey AS x, 0 AS d FROM part WHERE p_partkey < 5 UNION SELECT r.s, e.b, d + 1 FROM r JOIN e ON e.a = r.x WHERE d < 6) SELECT s AS a, x AS b, min(d)::BIGINT AS len FROM r WHERE x >= 5 AND x < 60 GROUP BY 1, 2")
+@coded("shortest_path", f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE w >= 2 UNION ALL SELECT b, a FROM pairs WHERE w >= 2), r AS (SELECT 0::BIGINT AS x, 0 AS d UNION SELECT e.b, d + 1 FROM r JOIN e ON e.a = r.x WHERE d < 6) SELECT x AS b, min(d)::BIGINT AS len FROM r WHERE x <> 0 GROUP BY 1")
 def _shortest(spark: SparkSession, folder: str) -> DataFrame:
-    return _copurchase_graph(spark, folder, 2).read("MATCH p = shortestPath((a:Part)-[:WITH_PART*..6]-(b:Part)) WHERE a.p_partkey < 5 AND b.p_partkey >= 5 AND b.p_partkey < 60 RETURN a.p_partkey AS a, b.p_partkey AS b, length(p) AS len")
+    return _copurchase_graph(spark, folder, 2).read("MATCH p = shortestPath((a:Part {p_partkey: 0})-[:WITH_PART*..6]-(b:Part)) WHERE b.p_partkey <> 0 RETURN b.p_partkey AS b, length(p) AS len")
 
 
-@coded("all_shortest", f"WITH {PAIRS}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), q AS (SELECT s.p_partkey AS s, t.p_partkey AS t FROM part s, part t WHERE s.p_partkey < 3 AND t.p_partkey BETWEEN 10 AND 14) SELECT s, t, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.a = s AND e.b = t) THEN 1 ELSE 2 END::BIGINT AS len, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.a = s AND e.b = t) THEN 1 ELSE (SELECT count(*) FROM e e1 JOIN e e2 ON e1.b = e2.a WHERE e1.a = s AND e2.b = t) END::BIGINT AS n FROM q")
+#: Numbers of shortest paths from part 0, level by level.
+_LEVELS = "v0 AS (SELECT 0::BIGINT AS x, 1::BIGINT AS n)" + "".join(
+    f", v{k} AS (SELECT e.b AS x, sum(n)::BIGINT AS n FROM v{k - 1} JOIN e ON e.a = v{k - 1}.x WHERE " + " AND ".join(f"e.b NOT IN (SELECT x FROM v{j})" for j in range(k)) + " GROUP BY 1)" for k in range(1, 5)
+)
+
+
+@coded("all_shortest", f"WITH {PAIRS}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), {_LEVELS} " + " UNION ALL ".join(f"SELECT x AS t, {k}::BIGINT AS len, n FROM v{k}" for k in range(1, 5)))
 def _all_shortest(spark: SparkSession, folder: str) -> DataFrame:
-    return _copurchase_graph(spark, folder).read("MATCH p = allShortestPaths((a:Part)-[:WITH_PART*]-(b:Part)) WHERE a.p_partkey < 3 AND b.p_partkey >= 10 AND b.p_partkey <= 14 RETURN a.p_partkey AS s, b.p_partkey AS t, length(p) AS len, count(*) AS n")
+    return _copurchase_graph(spark, folder).read("MATCH p = allShortestPaths((a:Part {p_partkey: 0})-[:WITH_PART*..4]-(b:Part)) WHERE b.p_partkey <> 0 RETURN b.p_partkey AS t, length(p) AS len, count(*) AS n")
 
 
 # --- algorithms ---
@@ -201,12 +207,42 @@ _call("algo_cdlp", "CALL algo.cdlp('Part', 'WITH_PART', {maxIterations: 2}) YIEL
       f"WITH {PAIRS}, {UND}, l1 AS (SELECT a AS x, min(b) AS c FROM e GROUP BY 1), s1 AS (SELECT p_partkey AS x, coalesce(c, p_partkey) AS c FROM part LEFT JOIN l1 ON x = p_partkey), v2 AS (SELECT e.a AS x, s1.c, count(*) AS n FROM e JOIN s1 ON s1.x = e.b GROUP BY 1, 2), b2 AS (SELECT x, c FROM v2 QUALIFY row_number() OVER (PARTITION BY x ORDER BY n DESC, c) = 1) SELECT s1.x AS p, coalesce(b2.c, s1.c) AS c FROM s1 LEFT JOIN b2 ON b2.x = s1.x")
 _call("algo_bfs", "CALL algo.bfs(0, 'WITH_PART') YIELD node, distance RETURN node.p_partkey AS p, distance AS d",
       f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs), r AS (SELECT 0::BIGINT AS x, 0 AS d UNION SELECT e.b, d + 1 FROM r JOIN e ON e.a = r.x WHERE d < 8) SELECT x AS p, min(d)::DOUBLE AS d FROM r GROUP BY 1", 1)
-_call("algo_scc", "CALL algo.scc('Part', 'WITH_PART') YIELD node, componentId RETURN node.p_partkey AS p, componentId AS c", "SELECT p_partkey AS p, p_partkey AS c FROM part")
+_call("algo_lcc_average", "CALL algo.lcc() YIELD average RETURN DISTINCT round(average, 6) AS a",
+      f"WITH {PAIRS}, {UND}, d AS (SELECT a, count(*) AS d FROM e GROUP BY 1), t AS (SELECT x.a, count(*) AS n FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT round(avg(CASE WHEN d > 1 THEN 2 * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END), 6)::DOUBLE AS a FROM part LEFT JOIN d ON d.a = p_partkey LEFT JOIN t ON t.a = p_partkey")
 _call("algo_mst", "CALL algo.mst('weight') YIELD source, target, weight, total_weight RETURN count(*) AS n, round(sum(weight), 3) AS total", None)
-_call("algo_shortest", "CALL algo.shortestPath(0, 150, 'WITH_PART') YIELD path, cost RETURN cost", None, 1)
-_call("algo_weighted", "CALL algo.weightedPath(0, 150, 'weight') YIELD path, cost RETURN cost", None, 1)
+_call("algo_shortest", "CALL algo.shortestPath(0, 150, 'WITH_PART') YIELD path, cost RETURN cost",
+      f"WITH RECURSIVE {PAIRS}, r AS (SELECT 0::BIGINT AS x, 0 AS d UNION SELECT p.b, d + 1 FROM r JOIN pairs p ON p.a = r.x WHERE d < 8) SELECT min(d)::DOUBLE AS cost FROM r WHERE x = 150 HAVING count(*) > 0", 1)
+_call("algo_weighted", "CALL algo.weightedPath(0, 150, 'weight') YIELD path, cost RETURN cost",
+      f"WITH RECURSIVE {PAIRS}, r AS (SELECT 0::BIGINT AS x, 0.0::DOUBLE AS d, 0 AS k UNION ALL SELECT x, min(d), min(k) FROM (SELECT p.b AS x, r.d + p.w AS d, r.k + 1 AS k FROM r JOIN pairs p ON p.a = r.x WHERE r.k < 7) GROUP BY x) SELECT min(d) AS cost FROM r WHERE x = 150 HAVING count(*) > 0", 1)
 _call("algo_maxflow", "CALL algo.maxFlow(0, 150, 'weight') YIELD max_flow RETURN max_flow", None)
-_call("or_solve", "CALL algo.or.solve({label: 'Part', cost_property: 'p_size', budget: 100.0, max_iterations: 20, algorithm: 'jaya'}) YIELD fitness, algorithm RETURN fitness > 0 AS positive, algorithm", "SELECT true AS positive, 'jaya' AS algorithm")
+_call("or_solve", "CALL algo.or.solve({label: 'Part', cost_property: 'p_size', budget: 100.0, max_iterations: 20, algorithm: 'jaya'}) YIELD fitness, algorithm RETURN fitness, algorithm")
+
+
+def _turned_graph(spark: SparkSession, folder: str) -> Graph:
+    """Parts bought together twice, each pair pointing up if its keys sum to an even number and down otherwise: a graph with cycles."""
+    pairs = tables.co_purchase(spark, folder, 2)
+    up = (F.col("src") + F.col("dst")) % 2 == 0
+    edges = pairs.select(F.xxhash64("src", "dst").alias(ID), F.when(up, F.col("src")).otherwise(F.col("dst")).alias("__src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("__dst"))
+    nodes = NodeTable(frozenset(["Part"]), spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_partkey").alias(ID), "p_partkey"))
+    return Graph(PropertyGraph(spark, (nodes,), (EdgeTable("WITH_PART", edges, "Part", "Part"),)))
+
+
+TURNED = f"{PAIRS}, e AS (SELECT CASE WHEN (a + b) % 2 = 0 THEN a ELSE b END AS a, CASE WHEN (a + b) % 2 = 0 THEN b ELSE a END AS b FROM pairs WHERE w >= 2)"
+
+
+@coded("algo_scc", f"WITH RECURSIVE {TURNED}, r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y), same AS (SELECT p.x, min(p.y) AS c FROM r p JOIN r q ON q.x = p.y AND q.y = p.x GROUP BY 1) SELECT p_partkey AS p, least(p_partkey, coalesce(c, p_partkey)) AS c FROM part LEFT JOIN same ON x = p_partkey")
+def _scc(spark: SparkSession, folder: str) -> DataFrame:
+    return _turned_graph(spark, folder).read("CALL algo.scc('Part', 'WITH_PART') YIELD node, componentId RETURN node.p_partkey AS p, componentId AS c")
+
+
+@coded("algo_triangle_cycles", f"WITH {TURNED} SELECT count(*) AS triangles FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b")
+def _cycles(spark: SparkSession, folder: str) -> DataFrame:
+    return _turned_graph(spark, folder).read("CALL algo.triangleCount('Part', 'WITH_PART', {cycles: true}) YIELD triangles RETURN triangles")
+
+
+@coded("algo_lcc_directed", f"WITH {TURNED}, w AS (SELECT a, b, count(*) AS k FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) GROUP BY 1, 2), d AS (SELECT a, sum(k) AS d, count(*) FILTER (k = 2) AS bi FROM w GROUP BY 1), t AS (SELECT x.a, sum(x.k * y.k * z.k) AS n FROM w x JOIN w y ON y.a = x.a AND x.b < y.b JOIN w z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT p_partkey AS p, round(CASE WHEN d * (d - 1) - 2 * bi > 0 THEN coalesce(n, 0) / (d * (d - 1) - 2 * bi) ELSE 0 END, 6)::DOUBLE AS c FROM part LEFT JOIN d ON d.a = p_partkey LEFT JOIN t ON t.a = p_partkey")
+def _lcc_directed(spark: SparkSession, folder: str) -> DataFrame:
+    return _turned_graph(spark, folder).read("CALL algo.lcc('Part', 'WITH_PART', {directed: true}) YIELD node, coefficient RETURN node.p_partkey AS p, round(coefficient, 6) AS c")
 
 
 @coded("sssp_weighted", f"WITH RECURSIVE {PAIRS}, r AS (SELECT 0::BIGINT AS x, 0.0::DOUBLE AS d, 0 AS k UNION ALL SELECT x, min(d), min(k) FROM (SELECT p.b AS x, r.d + p.w AS d, r.k + 1 AS k FROM r JOIN pairs p ON p.a = r.x WHERE r.k < 7) GROUP BY x) SELECT x AS p, min(d) AS d FROM r GROUP BY 1")

@@ -19,10 +19,13 @@ ID_BITS = 48
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared folder (``spark.checkpoint.dir``; a temporary one only where that is unset)."""
+    """Cut lineage through the cluster's shared folder, ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a cluster an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -78,13 +81,24 @@ class Table:
 
 @dataclass(frozen=True)
 class NodeTable(Table):
+    """Nodes with the same labels. Where ids are a source key above ``base``, ``key`` names its column."""
+
     labels: frozenset[str]
     load: DataFrame | Callable[[], DataFrame]
+    key: str | None = None
+    base: int = 0
 
     @property
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c != ID]
 
+    def of_ids(self, ids: Iterable[int]) -> NodeTable:
+        """The nodes of some ids, found by their key if there is one: a filter that reaches the scan."""
+        if self.key is None:
+            return self
+        keys = [i - self.base for i in ids if 0 <= i - self.base < 1 << ID_BITS]
+        return replace(self, load=self.df.where(F.col(f"`{self.key}`").isin(keys) if keys else F.lit(False)))
+
 
 @dataclass(frozen=True)
 class EdgeTable(Table):

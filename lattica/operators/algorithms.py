@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.model import checkpointed
@@ -138,25 +138,63 @@ def triangles(edges: DataFrame) -> DataFrame:
     return one.join(two, "u").where("x <> y").join(three, ["x", "y"]).select(F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
 
 
-def triangle_count(edges: DataFrame) -> DataFrame:
-    return triangles(edges).agg(F.count("*").alias("triangles"))
+def closed(edges: DataFrame) -> DataFrame:
+    """(a, b, c, ab, ba, bc, cb, ac, ca): each triangle once, a < b < c, with the arcs it has (1 or 0)."""
+    arcs = edges.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), (F.col("src") < F.col("dst")).alias("up"))
+    sides = checkpointed(arcs.groupBy("x", "y").agg(F.max(F.col("up").cast("int")).alias("to"), F.max((~F.col("up")).cast("int")).alias("fro")))
+    ends = F.array_sort(F.array("a", "b", "c"))
+    out = triangles(edges).select(*[ends[k].alias(n) for k, n in enumerate("abc")])
+    for x, y in ("ab", "bc", "ac"):
+        out = out.join(sides.select(F.col("x").alias(x), F.col("y").alias(y), F.col("to").alias(x + y), F.col("fro").alias(y + x)), [x, y])
+    return out
+
+
+def triangle_count(edges: DataFrame, cycles: bool = False) -> DataFrame:
+    """(triangles): of all triangles, or of directed cycles a -> b -> c -> a, each once."""
+    if not cycles:
+        return triangles(edges).agg(F.count("*").alias("triangles"))
+    turns = F.col("ab") * F.col("bc") * F.col("ca") + F.col("ac") * F.col("cb") * F.col("ba")
+    return closed(edges).agg(F.coalesce(F.sum(turns), F.lit(0)).cast("long").alias("triangles"))
 
 
 def clustering(vertices: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
-    """(id, coefficient): links among neighbours over possible ones; directed: over both directions of the neighbours' pairs."""
-    near = checkpointed(both_ways(edges))
-    degree = near.groupBy("src").agg(F.count("*").alias("d"))
+    """(id, coefficient, average): links among neighbours over possible ones, and the mean over all vertices.
+
+    Directed, after Fagiolo: every orientation of a triangle counts, a neighbour in both directions counts twice in the degree,
+    and pairs that such a neighbour would close with itself do not count as possible.
+    """
     if directed:
+        sides = [F.col(f"{x}{y}") + F.col(f"{y}{x}") for x, y in ("ab", "bc", "ac")]
+        found = closed(edges).select(F.explode(F.array("a", "b", "c")).alias("v"), (sides[0] * sides[1] * sides[2]).alias("n")).groupBy("v").agg(F.sum("n").alias("n"))
         arcs = edges.where("src <> dst").select("src", "dst").distinct()
-        a, b = near.select(F.col("src").alias("v"), F.col("dst").alias("x")), near.select(F.col("src").alias("v"), F.col("dst").alias("y"))
-        found = a.join(b, "v").where("x <> y").join(arcs, (F.col("x") == F.col("src")) & (F.col("y") == F.col("dst"))).groupBy("v").agg(F.count("*").alias("n"))
-        value = F.col("n") / (F.col("d") * (F.col("d") - 1))
+        around = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("k"))
+        degree = around.groupBy("src").agg(F.sum("k").alias("d"), F.sum((F.col("k") == 2).cast("int")).alias("twice"))
+        possible = F.col("d") * (F.col("d") - 1) - 2 * F.col("twice")
+        value = F.col("n") / possible
     else:
-        t = checkpointed(triangles(edges))
-        found = t.select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-        value = 2 * F.col("n") / (F.col("d") * (F.col("d") - 1))
+        degree = both_ways(edges).groupBy("src").agg(F.count("*").alias("d"))
+        found = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+        possible = F.col("d") * (F.col("d") - 1)
+        value = 2 * F.col("n") / possible
     joined = vertices.select("id").distinct().join(degree, F.col("id") == degree["src"], "left").join(found, F.col("id") == found["v"], "left")
-    return joined.select("id", F.when(F.col("d") > 1, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)).alias("coefficient"))
+    out = checkpointed(joined.select("id", F.when(possible > 0, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)).alias("coefficient")))
+    return out.join(F.broadcast(out.agg(F.avg("coefficient").alias("average"))), F.lit(True))
+
+
+def weights(edges: DataFrame, weighted: bool = True) -> Column:
+    """The weight of an edge; 1 where it is missing or not asked for."""
+    return F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if weighted and "weight" in edges.columns else F.lit(1.0)
+
+
+def relaxed(vertices: DataFrame, edges: DataFrame, source: int, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((id, distance, hops), (src, dst, w)): least distances from the source with the fewest hops that reach them, and the arcs used."""
+    arcs = checkpointed(edges.select("src", "dst", weights(edges, weighted).alias("w")).where("w >= 0").groupBy("src", "dst").agg(F.min("w").alias("w")))
+    state = checkpointed(vertices.where(F.col("id") == source).distinct().select("id", F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("hops")).alias("best"), F.lit(True).alias("new")))
+    while not state.where("new").isEmpty():
+        sent = state.where("new").join(arcs, F.col("id") == arcs["src"]).select(F.col("dst").alias("id"), F.struct((F.col("best.distance") + F.col("w")).alias("distance"), (F.col("best.hops") + 1).alias("hops")).alias("best"))
+        merged = state.select("id", "best", F.lit(1).alias("old")).unionByName(sent.withColumn("old", F.lit(0))).groupBy("id").agg(F.min("best").alias("best"), F.min(F.when(F.col("old") == 1, F.col("best"))).alias("had"))
+        state = checkpointed(merged.select("id", "best", (F.col("had").isNull() | (F.col("best") < F.col("had"))).alias("new")))
+    return state.select("id", "best.distance", "best.hops"), arcs
 
 
 def distances(vertices: DataFrame, edges: DataFrame, source: int, weighted: bool = False) -> DataFrame:
@@ -164,59 +202,58 @@ def distances(vertices: DataFrame, edges: DataFrame, source: int, weighted: bool
 
     Missing weights count as 1, edges of negative weight are skipped.
     """
-    w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if weighted and "weight" in edges.columns else F.lit(1.0)
-    arcs = checkpointed(edges.select("src", "dst", w.alias("w")).where("w >= 0").groupBy("src", "dst").agg(F.min("w").alias("w")))
-    state = checkpointed(vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("new")))
-    while not state.where("new").isEmpty():
-        sent = state.where("new").join(arcs, F.col("id") == arcs["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("w")).alias("distance"))
-        merged = state.select("id", "distance", F.lit(1).alias("old")).unionByName(sent.withColumn("old", F.lit(0))).groupBy("id").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old") == 1, F.col("distance"))).alias("had"))
-        state = checkpointed(merged.select("id", "distance", (F.col("had").isNull() | (F.col("distance") < F.col("had"))).alias("new")))
-    return state.select("id", "distance")
+    return relaxed(vertices, edges, source, weighted)[0].select("id", "distance")
 
 
 def cheapest_path(vertices: DataFrame, edges: DataFrame, source: int, target: int, weighted: bool = False) -> DataFrame:
-    """(path, cost): one cheapest path, as ids from source to target; least by ids among equals. No row if there is none."""
-    dist = checkpointed(distances(vertices, edges, source, weighted))
+    """(path, cost): one cheapest path with the fewest hops, as ids from source to target; least predecessors among equals. No row if there is none.
+
+    Each vertex points at its predecessor, one hop nearer, so edges without weight close no circle. The path is
+    gathered by jumps that double: as many rounds as the logarithm of its length.
+    """
+    dist, arcs = relaxed(vertices, edges, source, weighted)
     end = dist.where(F.col("id") == target).first()
     spark = vertices.sparkSession
     if end is None:
         return spark.createDataFrame([], "path array<long>, cost double")
-    w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if weighted and "weight" in edges.columns else F.lit(1.0)
-    d1, d2 = dist.select(F.col("id").alias("src"), F.col("distance").alias("ds")), dist.select(F.col("id").alias("dst"), F.col("distance").alias("dd"))
-    tight = checkpointed(edges.select("src", "dst", w.alias("w")).where("w >= 0").join(d1, "src").join(d2, "dst").where(F.abs(F.col("ds") + F.col("w") - F.col("dd")) < 1e-9).groupBy("dst").agg(F.min(F.struct("ds", "src")).alias("p")).select("dst", "p.src"))
-    path = [target]
-    while path[-1] != source:  # one row a step: as long as the path
-        row = tight.where(F.col("dst") == path[-1]).first()
-        if row is None or row["src"] in path:
-            break
-        path.append(row["src"])
-    return spark.createDataFrame([(path[::-1], float(end["distance"]))], "path array<long>, cost double")
+    near = dist.where(F.col("hops") <= end["hops"])
+    one, two = near.select(F.col("id").alias("src"), F.col("distance").alias("ds"), F.col("hops").alias("hs")), near.select(F.col("id").alias("dst"), F.col("distance").alias("dd"), F.col("hops").alias("hd"))
+    tight = arcs.join(one, "src").join(two, "dst").where("ds + w = dd and hs + 1 = hd")
+    jump = checkpointed(tight.groupBy(F.col("dst").alias("x")).agg(F.min("src").alias("to")))
+    own = checkpointed(near.where(F.col("id") == target).select("id", "hops"))
+    for _ in range(int(end["hops"]).bit_length()):
+        ahead = own.join(jump, F.col("id") == F.col("x")).select(F.col("to").alias("id")).join(near, "id").select("id", "hops")
+        own = checkpointed(own.union(ahead))
+        further = jump.select(F.col("x").alias("mid"), F.col("to").alias("end"))
+        jump = checkpointed(jump.join(further, F.col("to") == F.col("mid")).select("x", F.col("end").alias("to")))
+    path = F.transform(F.array_sort(F.collect_set(F.struct("hops", "id"))), lambda s: s["id"])
+    return own.agg(path.alias("path")).select("path", F.lit(float(end["distance"])).alias("cost"))
 
 
 def spanning_tree(vertices: DataFrame, edges: DataFrame, forest: bool = False) -> DataFrame:
     """(source, target, weight): least spanning tree of the component of the least vertex (or of all), in Boruvka rounds.
 
-    Directions are ignored, missing weights are 1. Ties go to the lesser ends, so that rounds never close a cycle.
+    Directions are ignored, missing weights are 1. Ties go to the lesser ends, so that rounds never close a cycle. Each
+    round contracts what its edges join: only the least edge between two contracted vertices goes on.
     """
-    w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    pairs = checkpointed(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.min("w").alias("w")))
-    comp = checkpointed(vertices.select("id").distinct().withColumn("componentId", F.col("id")))
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), weights(edges).alias("w"))
+    cross = checkpointed(pairs.groupBy("a", "b").agg(F.min("w").alias("w")).select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")))
     tree: DataFrame | None = None
-    while True:
-        ca, cb = comp.select(F.col("id").alias("a"), F.col("componentId").alias("ca")), comp.select(F.col("id").alias("b"), F.col("componentId").alias("cb"))
-        cross = checkpointed(pairs.join(ca, "a").join(cb, "b").where("ca <> cb"))
-        if cross.isEmpty():
-            break
-        out = cross.select(F.col("ca").alias("c"), "w", "a", "b").unionByName(cross.select(F.col("cb").alias("c"), "w", "a", "b"))
-        best = checkpointed(out.groupBy("c").agg(F.min(F.struct("w", "a", "b")).alias("m")).select("m.a", "m.b", "m.w").distinct())
-        tree = checkpointed(best if tree is None else tree.unionByName(best))
-        comp = checkpointed(components(vertices, tree.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    while not cross.isEmpty():
+        ends = cross.select("x", "e").unionByName(cross.select(F.col("y").alias("x"), "e"))
+        best = checkpointed(ends.groupBy("x").agg(F.min("e").alias("e")))
+        tree = checkpointed(best.select("e").distinct() if tree is None else tree.union(best.select("e").distinct()))
+        joined = cross.join(best.select("e").distinct(), "e", "left_semi").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+        names = checkpointed(components(ends.select(F.col("x").alias("id")).distinct(), joined))
+        moved = cross.join(names.select(F.col("id").alias("x"), F.col("componentId").alias("p")), "x").join(names.select(F.col("id").alias("y"), F.col("componentId").alias("q")), "y").where("p <> q")
+        cross = checkpointed(moved.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("e").alias("e")))
     if tree is None:
         return vertices.sparkSession.createDataFrame([], "source long, target long, weight double")
+    tree = tree.select("e.a", "e.b", "e.w")
     if not forest:
-        first = comp.agg(F.min("id")).first()[0]
-        own = comp.where(F.col("componentId") == first).select(F.col("id").alias("a"))
-        tree = tree.join(own, "a", "left_semi")
+        first = vertices.agg(F.min("id")).first()[0]
+        comp = components(vertices, tree.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        tree = tree.join(comp.where(F.col("componentId") == first).select(F.col("id").alias("a")), "a", "left_semi")
     return tree.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("w").alias("weight"))
 
 
@@ -225,8 +262,7 @@ def max_flow(edges: DataFrame, source: int, sink: int) -> DataFrame:
 
     Augmentation is sequential, so the aggregated network goes to one task, not to the driver.
     """
-    w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    net = edges.where("src <> dst").select("src", "dst", w.alias("w")).where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    net = edges.where("src <> dst").select("src", "dst", weights(edges).alias("w")).where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
     def solve(pdf):
         import pandas as pd
@@ -262,22 +298,20 @@ def max_flow(edges: DataFrame, source: int, sink: int) -> DataFrame:
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(component, explained, loadings): from the covariance summed in one pass; signs make the largest loading positive."""
-    import numpy as np
-
-    d = len(columns)
-    values = [F.col(c).cast("double") for c in columns]
-    sums = df.agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(values)], *[F.sum(values[i] * values[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    n = sums["n"]
-    mean = np.array([sums[f"s{i}"] / n for i in range(d)])
-    cov = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] / n - mean[i] * mean[j] for j in range(d)] for i in range(d)]) * n / max(1, n - 1)
-    value, vector = np.linalg.eigh(cov)
-    order = np.argsort(-value)[:k]
-    rows = []
-    for r, i in enumerate(order):
-        v = vector[:, i] * (1 if vector[np.abs(vector[:, i]).argmax(), i] > 0 else -1)
-        rows.append((r, float(value[i] / value.sum()) if value.sum() else 0.0, [float(x) for x in v]))
-    return df.sparkSession.createDataFrame(rows, "component int, explained double, loadings array<double>")
+    """(component, explained, loadings): from the covariance, whose blocks Spark sums in the JVM; signs make the largest loading positive.
+
+    Rows with a null among the columns are left out.
+    """
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    rows = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
+    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(rows)
+    out = []
+    for r in range(k):
+        v = [float(model.pc[i, r]) for i in range(len(columns))]
+        sign = 1 if max(v, key=abs) > 0 else -1
+        out.append((r, float(model.explainedVariance[r]), [sign * x for x in v]))
+    return df.sparkSession.createDataFrame(out, "component int, explained double, loadings array<double>")
 
 
 def ranked(df: DataFrame, key: str, by: str, k: int) -> DataFrame:

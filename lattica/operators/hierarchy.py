@@ -29,10 +29,10 @@ def covering(graph: PropertyGraph, spec: dict) -> DataFrame:
 
 def closure(graph: PropertyGraph, spec: dict) -> DataFrame:
     """(desc, anc): every node of the hierarchy with itself and each of its ancestors, once. Cycles are refused."""
-    key = ("closure", spec["name"], id(graph.nodes), id(graph.edges))
     cache = graph.meta.setdefault("_derived", {})
-    if key in cache:
-        return cache[key]
+    of, known = cache.get(spec["name"], (None, None))
+    if of is graph.edges:  # of these very relationships: the cache holds them, so that no other can take their place
+        return known
     up = checkpointed(covering(graph, spec))
     nodes = up.select(F.col("child").alias("x")).union(up.select("parent")).distinct()
     seen = checkpointed(up.select(F.col("child").alias("desc"), F.col("parent").alias("anc")).distinct())
@@ -43,8 +43,9 @@ def closure(graph: PropertyGraph, spec: dict) -> DataFrame:
         nexts = frontier.join(up, frontier["anc"] == up["child"]).select("desc", F.col("parent").alias("anc")).distinct()
         frontier = checkpointed(nexts.join(seen, ["desc", "anc"], "left_anti"))
         seen = checkpointed(seen.unionByName(frontier))
-    cache[key] = checkpointed(seen.unionByName(nodes.select(F.col("x").alias("desc"), F.col("x").alias("anc"))))
-    return cache[key]
+    known = checkpointed(seen.unionByName(nodes.select(F.col("x").alias("desc"), F.col("x").alias("anc"))))
+    cache[spec["name"]] = (graph.edges, known)
+    return known
 
 
 def spec_of(graph: PropertyGraph, name: str | None) -> dict:
@@ -69,8 +70,8 @@ def measure(graph: PropertyGraph, spec: dict) -> DataFrame:
 
 def rollup(graph: PropertyGraph, spec: dict, op: str) -> DataFrame:
     """(anc, value): the measure folded over each node and its descendants, each once."""
-    if op not in spec["aggregates"] and op not in AGGREGATES:
-        raise CypherError("UnknownAggregate", op)
+    if op not in (spec["aggregates"] or AGGREGATES):
+        raise CypherError("UnknownAggregate", f"{op} is none of {', '.join(spec['aggregates'] or AGGREGATES)}")
     both = closure(graph, spec).join(measure(graph, spec), F.col("desc") == F.col("id"))
     return both.groupBy("anc").agg(AGGREGATES[op]("m").alias("value"))
 
@@ -92,7 +93,8 @@ def lower(lowerer: Any, frame: Any, e: Func, memo: dict[int, Any]) -> Any:
         df = frame.df.join(folded.select(F.col("anc").alias(k), F.col("value").alias(v)), ids[0] == F.col(k), "left").drop(k).withColumnRenamed(v, name)
     elif e.name == "subsumes":
         d, a = fresh("d"), fresh("a")
-        pairs = closure(graph, spec).select(F.col("desc").alias(d), F.col("anc").alias(a), F.lit(True).alias(name))
+        asked = frame.df.select(ids[1].alias("anc")).where("anc is not null").distinct()  # of the closure, only what lies below these
+        pairs = closure(graph, spec).join(asked, "anc", "left_semi").select(F.col("desc").alias(d), F.col("anc").alias(a), F.lit(True).alias(name))
         df = frame.df.join(pairs, (ids[0] == F.col(d)) & (ids[1] == F.col(a)), "left").drop(d, a)
         df = df.withColumn(name, F.when(ids[0].isNotNull() & ids[1].isNotNull(), F.coalesce(F.col(name), ids[0] == ids[1])))
     else:

@@ -13,7 +13,7 @@ from lattica.plans.ast import CypherError
 
 NAMES = (
     "algo.pageRank([label], [type], {iterations, damping})", "algo.wcc([label], [type])", "algo.scc([label], [type])", "algo.shortestPath(source, target, [type])", "algo.weightedPath(source, target, weight)",
-    "algo.maxFlow(source, sink, capacity)", "algo.mst([weight])", "algo.triangleCount()", "algo.cdlp([label], [type], {maxIterations})", "algo.lcc([label], [type])", "algo.bfs(source, [type])", "algo.or.solve({...})",
+    "algo.maxFlow(source, sink, capacity)", "algo.mst([weight])", "algo.triangleCount([label], [type], {cycles})", "algo.cdlp([label], [type], {maxIterations})", "algo.lcc([label], [type])", "algo.bfs(source, [type])", "algo.or.solve({...})",
 )
 HINTS = {"bfs": "shortestPath", "dijkstra": "weightedPath", "louvain": "cdlp", "connectedcomponents": "wcc", "labelpropagation": "cdlp"}
 
@@ -67,7 +67,7 @@ def call(lowerer: Any, name: str, args: list[Any]) -> tuple[DataFrame, dict[str,
     if short == "lcc":
         return node(algorithms.clustering(*projection(graph, label, type_), bool(options.get("directed", False)))), {"node": "node"}
     if short == "trianglecount":
-        return algorithms.triangle_count(projection(graph, label, type_)[1]), {}
+        return algorithms.triangle_count(projection(graph, label, type_)[1], bool(options.get("cycles", False))), {}
     if short == "shortestpath" and len(args) >= 2:
         return algorithms.cheapest_path(*projection(graph, None, args[2] if len(args) > 2 else None), int(args[0]), int(args[1])), {}
     if short == "weightedpath" and len(args) >= 3:

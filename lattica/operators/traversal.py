@@ -61,33 +61,34 @@ def reach(starts: DataFrame, edges: DataFrame, direction: str, low: int, high: i
 def shortest(pairs: DataFrame, edges: DataFrame, direction: str, every: bool, low: int = 0, high: int | None = None) -> DataFrame:
     """(s, t, nodes, rels): one shortest path, or every one, for each of ``pairs(s, t)`` that is connected.
 
-    Equal ends give one path of length 0. Of several shortest paths, one that is least by its edge ids is taken. A
-    source leaves the search once all of its targets are reached.
+    Equal ends give one path of length 0. The search keeps, for each source and node, the last steps of its shortest paths (of
+    one: the step of the least edge id); paths are only put together backwards from the targets asked for. A source
+    leaves the search once all of its targets are reached.
     """
     step = checkpointed(steps(edges, direction))
     pairs = checkpointed(pairs.where("s is not null and t is not null").distinct())
     empty = F.array().cast("array<bigint>")
-    frontier = pairs.select("s", F.col("s").alias("n")).distinct().select("s", "n", F.array("n").alias("nodes"), empty.alias("rels"))
-    seen = frontier.select("s", "n")
-    found = [pairs.where("s = t").select("s", "t", F.array("s").alias("nodes"), empty.alias("rels"))] if low <= 1 else []
+    frontier = pairs.select("s", F.col("s").alias("n")).distinct()
+    seen, last, hits = frontier, [], []
     open_ = pairs.where("s <> t")
-    d = 0
-    while (high is None or d < high) and not open_.isEmpty():
-        d += 1
+    while (high is None or len(last) < high) and not open_.isEmpty():
         frontier = frontier.join(open_.select("s").distinct(), "s", "left_semi")
-        nexts = frontier.join(step, frontier["n"] == step["a"]).select("s", F.col("b").alias("n"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("rels", F.array("e")).alias("rels"))
-        nexts = nexts.join(seen, ["s", "n"], "left_anti")
+        nexts = frontier.join(step, frontier["n"] == step["a"]).select("s", F.col("b").alias("n"), "a", "e").join(seen, ["s", "n"], "left_anti")
         if not every:
-            nexts = nexts.groupBy("s", "n").agg(F.min(F.struct("rels", "nodes")).alias("b")).select("s", "n", "b.nodes", "b.rels")
-        frontier = checkpointed(nexts.select("s", "n", "nodes", "rels"))
-        if frontier.isEmpty():
+            nexts = nexts.groupBy("s", "n").agg(F.min(F.struct("e", "a")).alias("m")).select("s", "n", "m.a", "m.e")
+        last.append(checkpointed(nexts.select("s", "n", "a", "e")))
+        frontier = last[-1].select("s", "n").distinct()
+        if last[-1].isEmpty():
+            last.pop()
             break
-        seen = checkpointed(seen.union(frontier.select("s", "n").distinct()))
-        hit = frontier.withColumnRenamed("n", "t").join(open_, ["s", "t"]).select("s", "t", "nodes", "rels")
+        seen = checkpointed(seen.union(frontier))
+        hits.append(checkpointed(open_.join(frontier.withColumnRenamed("n", "t"), ["s", "t"], "left_semi")))
+        open_ = checkpointed(open_.join(hits[-1], ["s", "t"], "left_anti"))
+    walk = pairs.select("s", "t", F.col("t").alias("n"), F.array("t").alias("nodes"), empty.alias("rels")).limit(0)
+    for d in range(len(hits), 0, -1):
         if d >= low:
-            found.append(hit)
-        open_ = checkpointed(open_.join(hit.select("s", "t"), ["s", "t"], "left_anti"))
-    out = found[0] if found else pairs.select("s", "t", F.array("s").alias("nodes"), empty.alias("rels")).limit(0)
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+            walk = walk.unionByName(hits[d - 1].select("s", "t", F.col("t").alias("n"), F.array("t").alias("nodes"), empty.alias("rels")))
+        back = walk.join(last[d - 1], ["s", "n"]).select("s", "t", F.col("a").alias("n"), F.concat(F.array("a"), "nodes").alias("nodes"), F.concat(F.array("e"), "rels").alias("rels"))
+        walk = checkpointed(back) if d % UNROLLED == 0 else back
+    out = walk.select("s", "t", "nodes", "rels")
+    return out.unionByName(pairs.where("s = t").select("s", "t", F.array("s").alias("nodes"), empty.alias("rels"))) if low <= 1 else out

@@ -249,7 +249,7 @@ class Writer:
             low.graph = low.graph.with_nodes([NodeTable(t.labels, changed(t.df, (ID,))) if t.labels in sets else t for t in low.graph.nodes])
             self.check_unique(low.graph, frozenset().union(*sets))
         else:
-            touched = {r[0] for r in frame.df.select(b.type).distinct().limit(10_000).collect()}
+            touched = {r[0] for r in frame.df.select(b.type).distinct().collect()}
             low.graph = low.graph.with_edges([EdgeTable(t.type, changed(t.df, (ID, SRC, DST)), t.src_label, t.dst_label) if t.type in touched else t for t in low.graph.edges])
         return self.reread(low, frame)
 
@@ -265,7 +265,7 @@ class Writer:
                 df = df.join(nodes, F.col(b.id) == F.col(node.id), "left")
                 new[name] = replace(node, known=frozenset())
             elif isinstance(b, Edge):
-                kinds = [r[0] for r in frame.df.select(b.type).distinct().limit(10_000).collect() if r[0] is not None]
+                kinds = [r[0] for r in frame.df.select(b.type).distinct().collect() if r[0] is not None]
                 edge, edges = low.edges_as(kinds or ("\0none",))
                 df = df.join(edges, (F.col(b.id) == F.col(edge.id)) & (F.col(b.type) == F.col(edge.type)), "left")
                 new[name] = edge
@@ -371,8 +371,11 @@ class Writer:
         elif c.kind in ("drop_hierarchy", "rebuild_hierarchy"):
             if a["name"] not in meta.get("hierarchies", {}):
                 raise CypherError("UnknownHierarchy", a["name"])
+            graph.meta.get("_derived", {}).pop(a["name"], None)
             if c.kind == "drop_hierarchy":
                 del meta["hierarchies"][a["name"]]
+            else:
+                hierarchy.closure(replace(graph, meta=meta), meta["hierarchies"][a["name"]])  # anew; refuses cycles
         low.graph = replace(graph, meta=meta)
         return nothing
 

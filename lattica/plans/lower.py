@@ -323,6 +323,21 @@ class Lowerer:
 
         return min(range(len(path.nodes)), key=rank)
 
+    def pinned(self, name: str, waiting: list[Expr]) -> PropertyGraph:
+        """The graph with its node tables cut to the ids that a condition names for a variable, by their source keys, which scans can push down."""
+        ids: set[int] | None = None
+        for p in waiting:
+            if isinstance(p, Binary) and p.op in ("=", "IN"):
+                for x, y in ((p.left, p.right), (p.right, p.left)) if p.op == "=" else ((p.left, p.right),):
+                    if isinstance(x, Func) and x.name == "id" and isinstance(x.args[0], Var) and x.args[0].name == name:
+                        try:
+                            value = self.constant(y)
+                        except CypherError:
+                            continue
+                        own = {v for v in (value if isinstance(value, list) else [value]) if isinstance(v, int)}
+                        ids = own if ids is None else ids & own
+        return self.graph if ids is None else self.graph.with_nodes(t.of_ids(ids) for t in self.graph.nodes)
+
     def path(self, frame: Frame, path: Path, waiting: list[Expr], used: list[Edge]) -> tuple[Frame, list[Expr]]:
         names = [n.var or fresh("anon") for n in path.nodes]
         rels = [r.var or fresh("rel") for r in path.rels]
@@ -334,7 +349,9 @@ class Lowerer:
         if order and names[start] not in frame.vars and path.nodes[start].props is None and path.rels[order[0]].span is None and rels[order[0]] not in frame.vars:
             frame, waiting = self.first_hop(frame, path, names, rels, start, order.pop(0), waiting, used)
         else:
+            whole, self.graph = self.graph, self.pinned(names[start], waiting)
             frame = self.place(frame, names[start], path.nodes[start])
+            self.graph = whole
         frame, waiting = self.ready(frame, waiting)
         for k in order:
             forward = k >= start
@@ -426,7 +443,8 @@ class Lowerer:
         """A relationship is used once within one MATCH."""
         for other, types in used:
             if not types or not rel.types or set(types) & set(rel.types):
-                same = F.col(other.id) == F.col(edge.id)
+                # ends too: ids that are hashes may meet, but hardly between the same ends
+                same = (F.col(other.id) == F.col(edge.id)) & (F.col(other.src) == F.col(edge.src)) & (F.col(other.dst) == F.col(edge.dst))
                 if len(tables) > 1 or not types or set(types) != set(rel.types):
                     same = same & (F.col(other.type) == F.col(edge.type))
                 frame = frame.having(frame.df.where(~same))
@@ -746,6 +764,12 @@ class Lowerer:
                 c, kind = F.col(key_of(b)), T.LongType()
             else:
                 c, kind = compiler.typed(x.args[0])
+            if x.name == "percentiledisc" and isinstance(kind, T.NumericType) and not x.distinct:
+                # counts per value, combined before the shuffle; its syntax needs a column by name
+                arg, share = fresh("arg"), self.constant(x.args[1]) if len(x.args) > 1 else 0.5
+                frame = Frame(frame.df.withColumn(arg, c), frame.vars)
+                aggs.append(F.expr(f"percentile_disc({float(share)}) WITHIN GROUP (ORDER BY `{arg}`)").cast(kind).alias(name))
+                continue
             aggs.append(aggregates.build(x.name, c, kind, [compiler.column(a) for a in x.args[1:]], x.distinct).alias(name))
         df = frame.df.groupBy(*by).agg(*aggs) if by else frame.df.agg(*aggs)
         out = Frame(df, dict(keys.vars))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.model import DST, ID, SRC, EdgeTable, NodeTable, PropertyGraph
+from lattica.plans.ast import CypherError
 
 #: subject, predicate, object term, then optional graph term
 LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
@@ -14,6 +15,8 @@ PREFIXES = {
     "foaf": "http://xmlns.com/foaf/0.1/", "dc": "http://purl.org/dc/elements/1.1/",
 }
 TYPE = PREFIXES["rdf"] + "type"
+#: Relationship types that a graph can be made of.
+MOST_PREDICATES = 10_000
 
 
 def term(c: Column) -> Column:
@@ -27,7 +30,7 @@ def term(c: Column) -> Column:
     literal = ~iri & ~blank
     return F.struct(
         F.when(iri, "iri").when(blank, "blank").otherwise("literal").alias("kind"),
-        F.when(iri, F.regexp_extract(c, r"^<([^>]*)>$", 1)).when(blank, F.substring(c, 3, 1 << 20)).otherwise(plain).alias("value"),
+        F.when(iri, F.regexp_extract(c, r"^<([^>]*)>$", 1)).when(blank, F.substring(c, 3, 2**31 - 1)).otherwise(plain).alias("value"),
         F.when(literal & (lang != ""), lang).alias("lang"),
         F.when(literal & (datatype != ""), datatype).alias("datatype"),
     )
@@ -79,7 +82,9 @@ def to_graph(triples: DataFrame) -> PropertyGraph:
     nodes = resources.select(key(F.col("r")).alias(ID), F.col("r")["value"].alias("iri")).dropDuplicates([ID])
     nodes = nodes.join(kinds, F.col(ID) == F.col("k"), "left").drop("k")
     links = triples.where((F.col("o")["kind"] != "literal") & (F.col("p")["value"] != TYPE)).withColumn("type", local)
-    names = sorted(r[0] for r in links.select("type").distinct().limit(10_000).collect())
+    names = sorted(r[0] for r in links.select("type").distinct().limit(MOST_PREDICATES + 1).collect())
+    if len(names) > MOST_PREDICATES:
+        raise CypherError("TooManyPredicates", f"each of them is a table; at most {MOST_PREDICATES}")
     edges = tuple(EdgeTable(n, links.where(F.col("type") == n).select(F.xxhash64("s.value", "p.value", "o.value").alias(ID), key(F.col("s")).alias(SRC), key(F.col("o")).alias(DST))) for n in names)
     return PropertyGraph(spark, (NodeTable(frozenset(["Resource"]), nodes),), edges)
 

@@ -62,7 +62,8 @@ class GraphSpec:
             df = read(n.table)
             return df.select(self.node_id(n.label, F.col(n.key)).alias(ID), *(n.props if n.props is not None else df.columns))
 
-        return NodeTable(frozenset([n.label]), load)
+        held = n.props is None or n.key in n.props
+        return NodeTable(frozenset([n.label]), load, n.key if held else None, next(k for k, x in enumerate(self.nodes) if x is n) << ID_BITS)
 
     def _edges(self, k: int, e: EdgeSpec, read: Callable[[str], DataFrame]) -> EdgeTable:
         def load() -> DataFrame:

@@ -13,7 +13,8 @@ def append_edges(stream: DataFrame, path: str, checkpoint: str, src: str, dst: s
     """Write a stream's rows as relationships to Parquet, exactly once per batch: a batch that runs again overwrites its own folder."""
 
     def put(batch: DataFrame, number: int) -> None:
-        one = F.shiftrightunsigned(F.xxhash64(src, dst, *props), 2).alias(ID)
+        # equal rows are relationships of their own: the batch and the row's place in it count too
+        one = F.shiftrightunsigned(F.xxhash64(src, dst, *props, F.lit(number), F.monotonically_increasing_id()), 2).alias(ID)
         batch.select(one, F.col(src).cast("long").alias(SRC), F.col(dst).cast("long").alias(DST), *props).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

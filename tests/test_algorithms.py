@@ -84,8 +84,49 @@ def test_triangles_and_clustering(graph):
     want = {x: (2 * sum(x in t for t in tri) / (len(near[x]) * (len(near[x]) - 1)) if len(near[x]) > 1 else 0.0) for x in v}
     assert {r["id"]: r["coefficient"] for r in al.clustering(fv, fe).collect()} == pytest.approx(want)
     arcs = {(a, b) for a, b, _ in e if a != b}
-    directed = {x: (sum((a, b) in arcs for a in near[x] for b in near[x] if a != b) / (len(near[x]) * (len(near[x]) - 1)) if len(near[x]) > 1 else 0.0) for x in v}
-    assert {r["id"]: r["coefficient"] for r in al.clustering(fv, fe, True).collect()} == pytest.approx(directed)
+    side = lambda a, b: ((a, b) in arcs) + ((b, a) in arcs)
+    directed = {}
+    for x in v:  # after Fagiolo, by its formula
+        total, twice = sum(side(x, y) for y in near[x]), sum(side(x, y) == 2 for y in near[x])
+        turns = sum(side(x, a) * side(a, b) * side(b, x) for a in near[x] for b in near[x] if a != b)
+        possible = total * (total - 1) - 2 * twice
+        directed[x] = turns / (2 * possible) if possible > 0 else 0.0
+    rows = al.clustering(fv, fe, True).collect()
+    assert {r["id"]: r["coefficient"] for r in rows} == pytest.approx(directed)
+    assert rows[0]["average"] == pytest.approx(sum(directed.values()) / len(v))
+    cycles = sum((a, b) in arcs and (b, c) in arcs and (c, a) in arcs for a in v for b in v for c in v if a < b and a < c)
+    assert al.triangle_count(fe, True).first()[0] == cycles
+
+
+def test_directed_clustering_of_a_known_graph(spark):
+    v, e = [0, 1, 2, 3], [(0, 1, 1.0), (1, 0, 1.0), (0, 2, 1.0), (0, 3, 1.0), (1, 2, 1.0)]
+    got = {r["id"]: r["coefficient"] for r in al.clustering(*frames(spark, v, e), True).collect()}
+    assert got[0] == pytest.approx(0.2) and got[3] == 0.0
+
+
+def test_paths_over_edges_without_weight(spark):
+    """Edges of weight zero must not close the predecessors into a circle."""
+    e = [(5, 2, 0.0), (1, 2, 0.0), (2, 1, 0.0), (1, 3, 1.0)]
+    row = al.cheapest_path(*frames(spark, [1, 2, 3, 5], e), 5, 3, True).first()
+    assert (row["path"], row["cost"]) == ([5, 2, 1, 3], 1.0)
+    chain = [(k, k + 1, 0.0) for k in range(20)] + [(k + 1, k, 0.0) for k in range(20)]
+    row = al.cheapest_path(*frames(spark, list(range(21)), chain), 0, 20, True).first()
+    assert (row["path"], row["cost"]) == (list(range(21)), 0.0)
+    row = al.cheapest_path(*frames(spark, [1, 2], [(1, 2, 1.0)]), 1, 1, True).first()
+    assert (row["path"], row["cost"]) == ([1], 0.0)
+
+
+def test_principal_components_against_the_covariance(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4)) * [3, 1, 2, 0.5] + rng.normal(size=(60, 1))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    for r in al.principal_components(df, ["a", "b", "c", "d"], 3).collect():
+        at = 3 - r["component"]
+        want = vector[:, at] * (1 if vector[np.abs(vector[:, at]).argmax(), at] > 0 else -1)
+        assert r["explained"] == pytest.approx(value[at] / value.sum()) and r["loadings"] == pytest.approx(want.tolist())
 
 
 def test_distances_and_paths(graph):

@@ -7,7 +7,7 @@ import pytest
 
 from lattica import catalogue
 
-SLOW = {"varlen_reach", "algo_scc", "algo_mst", "shortest_path", "all_shortest"}
+SLOW = {"varlen_reach", "algo_mst"}
 
 
 def plain(v):
