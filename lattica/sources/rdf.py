@@ -1,7 +1,11 @@
-"""RDF triples as a DataFrame: N-Triples in and out, simple Turtle in, pattern queries, conversion to a graph."""
+"""RDF triples as a DataFrame: N-Triples in and out, Turtle in, pattern queries, conversion to a graph."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,70 +77,163 @@ def pattern(triples: DataFrame, s: str | None = None, p: str | None = None, o: s
 
 
 def to_graph(triples: DataFrame) -> PropertyGraph:
-    """Resources as nodes (``iri``), rdf:type as the property ``rdf_type``, links between resources as relationships by the predicate's local name."""
+    """Resources as nodes (``iri``, ``rdf_type`` for rdf:type), literals as their properties, links between resources as relationships.
+
+    Properties and relationships have the predicate's local name, or the whole predicate where several share one. A property holds
+    the least of several literals of a predicate.
+    """
     local = F.regexp_extract(F.col("p")["value"], r"([^/#]+)$", 1)
-    spark = triples.sparkSession
     key = lambda c: F.xxhash64(c["kind"], c["value"])
+    used = triples.where(F.col("p")["value"] != TYPE).groupBy((F.col("o")["kind"] == "literal").alias("literal"), F.col("p")["value"].alias("iri")).agg(F.first(local).alias("name"))
+    known = sorted(tuple(r) for r in used.limit(MOST_PREDICATES + 1).collect())
+    if len(known) > MOST_PREDICATES:
+        raise CypherError("TooManyPredicates", f"each of them is a table or a column; at most {MOST_PREDICATES}")
+    times = Counter((literal, name) for literal, _, name in known)
+    names = {(literal, iri): iri if times[literal, name] > 1 or not name or (literal and name in ("iri", "rdf_type")) else name for literal, iri, name in known}
     resources = triples.select(F.col("s").alias("r")).union(triples.where("o.kind <> 'literal'").select("o")).distinct()
     kinds = triples.where(F.col("p")["value"] == TYPE).groupBy(key(F.col("s")).alias("k")).agg(F.array_sort(F.collect_set(F.col("o")["value"])).alias("rdf_type"))
     nodes = resources.select(key(F.col("r")).alias(ID), F.col("r")["value"].alias("iri")).dropDuplicates([ID])
     nodes = nodes.join(kinds, F.col(ID) == F.col("k"), "left").drop("k")
-    links = triples.where((F.col("o")["kind"] != "literal") & (F.col("p")["value"] != TYPE)).withColumn("type", local)
-    names = sorted(r[0] for r in links.select("type").distinct().limit(MOST_PREDICATES + 1).collect())
-    if len(names) > MOST_PREDICATES:
-        raise CypherError("TooManyPredicates", f"each of them is a table; at most {MOST_PREDICATES}")
-    edges = tuple(EdgeTable(n, links.where(F.col("type") == n).select(F.xxhash64("s.value", "p.value", "o.value").alias(ID), key(F.col("s")).alias(SRC), key(F.col("o")).alias(DST))) for n in names)
-    return PropertyGraph(spark, (NodeTable(frozenset(["Resource"]), nodes),), edges)
+    if columns := [F.min(F.when(F.col("p")["value"] == iri, F.col("o")["value"])).alias(names[True, iri]) for literal, iri, _ in known if literal]:
+        values = triples.where("o.kind = 'literal'").groupBy(key(F.col("s")).alias("k")).agg(*columns)
+        nodes = nodes.join(values, F.col(ID) == F.col("k"), "left").drop("k")
+    links = triples.where((F.col("o")["kind"] != "literal") & (F.col("p")["value"] != TYPE)).distinct()
+    edges = tuple(
+        EdgeTable(names[False, iri], links.where(F.col("p")["value"] == iri).select(F.xxhash64("s.value", "p.value", "o.value").alias(ID), key(F.col("s")).alias(SRC), key(F.col("o")).alias(DST))) for literal, iri, _ in known if not literal
+    )
+    return PropertyGraph(triples.sparkSession, (NodeTable(frozenset(["Resource"]), nodes),), edges)
 
 
-def read_turtle(spark: SparkSession, text: str) -> DataFrame:
-    """(s, p, o, g) of a small Turtle document: prefixes, ``a``, ``;`` and ``,`` lists, literals. Parsed on the driver."""
-    import re
-
-    tokens = re.findall(r'@prefix|@base|<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^(?:<[^>]*>|\w+:\w+)|@[\w-]+)?|_:\w+|[\w-]*:[\w-]*|\ba\b|true|false|[+-]?\d+(?:\.\d+)?|[.;,\[\]]', re.sub(r"(?m)(^|\s)#.*$", "", text))
-    prefixes, rows, k = dict(PREFIXES), [], 0
-
-    def one(t: str) -> tuple:
-        if t.startswith("<"):
-            return ("iri", t[1:-1], None, None)
-        if t.startswith("_:"):
-            return ("blank", t[2:], None, None)
-        if t.startswith('"'):
-            m = re.match(r'"((?:[^"\\]|\\.)*)"(?:\^\^(.*)|@(.*))?$', t, re.S)
-            kind = m[2] and (m[2][1:-1] if m[2].startswith("<") else expand(m[2], prefixes))
-            return ("literal", m[1].replace('\\"', '"').replace("\\n", "\n"), m[3], kind)
-        if t == "a":
-            return ("iri", TYPE, None, None)
-        if re.fullmatch(r"[+-]?\d+", t):
-            return ("literal", t, None, PREFIXES["xsd"] + "integer")
-        if re.fullmatch(r"[+-]?\d+\.\d+", t):
-            return ("literal", t, None, PREFIXES["xsd"] + "decimal")
-        if t in ("true", "false"):
-            return ("literal", t, None, PREFIXES["xsd"] + "boolean")
-        return ("iri", expand(t, prefixes), None, None)
-
-    while k < len(tokens):
-        if tokens[k] == "@prefix":
-            prefixes[tokens[k + 1].rstrip(":")] = tokens[k + 2][1:-1]
-            k += 4
-            continue
-        s = one(tokens[k])
-        k += 1
-        while k < len(tokens) and tokens[k] != ".":
-            p = one(tokens[k])
-            k += 1
+#: Tokens of Turtle; literals and IRIs come before comments, so that a # within them is none.
+TURTLE = re.compile(
+    r"""(?P<iri><[^<>"{}|^`\s]*>)|(?P<text>\"""(?:[^"\\]|\\.|"(?!""))*\"""|\'\'\'(?:[^'\\]|\\.|'(?!''))*\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<comment>\#[^\n]*)|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)"""
+    r"""|(?P<blank>_:[\w\-]+(?:\.[\w\-]+)*)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+|[+-]?\d*\.\d+|[+-]?\d+)|(?P<name>[\w\-]*(?:\.[\w\-]+)*:(?:[\w\-:%]|\\.|\.(?=[\w\-:%\\]))*)|(?P<word>[A-Za-z]+)|(?P<mark>\^\^|[.;,\[\]()])|(?P<space>\s+)""",
+    re.S,
+)
+ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+class _Turtle:
+    """Reads one Turtle document into rows (s, p, o, g) of terms (kind, value, lang, datatype)."""
+
+    def __init__(self, text: str):
+        self.tokens, self.rows, self.at, self.blanks = [], [], 0, 0
+        self.prefixes, self.base = dict(PREFIXES), ""
+        at = 0
+        while at < len(text):
+            m = TURTLE.match(text, at)
+            if m is None:
+                raise CypherError("Syntax", f"not Turtle: {text[at : at + 30]!r}")
+            if m.lastgroup not in ("comment", "space"):
+                self.tokens.append((m.lastgroup, m[0]))
+            at = m.end()
+
+    def peek(self) -> tuple[str, str]:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+
+    def take(self, value: str | None = None) -> tuple[str, str]:
+        kind, got = self.peek()
+        if kind == "end" or (value is not None and got != value):
+            raise CypherError("Syntax", f"{value or 'more'} expected, {got or 'the end'} found")
+        self.at += 1
+        return kind, got
+
+    def document(self) -> list[tuple]:
+        while self.peek()[0] != "end":
+            kind, got = self.peek()
+            word = got.lower().lstrip("@")
+            if kind in ("lang", "word") and word in ("prefix", "base"):
+                self.take()
+                if word == "prefix":
+                    name = self.take()[1].removesuffix(":")
+                    self.prefixes[name] = self.iri(self.take()[1])
+                else:
+                    self.base = self.iri(self.take()[1])
+                if got.startswith("@"):
+                    self.take(".")
+                continue
+            alone = got == "["
+            s = self.term()
+            if not (alone and self.peek()[1] == "."):
+                self.statements(s)
+            self.take(".")
+        return self.rows
+
+    def statements(self, s: tuple) -> None:
+        """Predicates and objects of a subject, up to what ends them."""
+        while self.peek()[1] not in (".", "]"):
+            p = ("iri", TYPE, None, None) if self.peek() == ("word", "a") else None
+            if p:
+                self.take()
+            else:
+                p = self.term()
             while True:
-                rows.append((s, p, one(tokens[k]), None))
-                k += 1
-                if k < len(tokens) and tokens[k] == ",":
-                    k += 1
-                    continue
-                break
-            if k < len(tokens) and tokens[k] == ";":
-                k += 1
-        k += 1
+                self.rows.append((s, p, self.term(), None))
+                if self.peek()[1] != ",":
+                    break
+                self.take()
+            while self.peek()[1] == ";":
+                self.take()
+            if self.peek()[1] not in (".", "]") and self.tokens[self.at - 1][1] != ";":
+                raise CypherError("Syntax", f"; or . expected, {self.peek()[1]} found")
+
+    def iri(self, token: str) -> str:
+        raw = re.sub(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})", lambda m: chr(int(m[1] or m[2], 16)), token[1:-1])
+        return urljoin(self.base, raw) if self.base and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", raw) else raw
+
+    def fresh(self) -> tuple:
+        self.blanks += 1
+        return ("blank", f"genid{self.blanks}", None, None)
+
+    def term(self) -> tuple:
+        kind, got = self.take()
+        if kind == "iri":
+            return ("iri", self.iri(got), None, None)
+        if kind == "blank":
+            return ("blank", got[2:], None, None)
+        if kind == "name":
+            head, _, tail = got.partition(":")
+            if head not in self.prefixes:
+                raise CypherError("Syntax", f"unknown prefix {head}:")
+            return ("iri", self.prefixes[head] + re.sub(r"\\(.)", r"\1", tail), None, None)
+        if kind == "text":
+            width = 3 if got[:3] in ('"""', "\'\'\'") else 1
+            value = re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else ESCAPES.get(m[3], m[3]), got[width:-width], flags=re.S)
+            if self.peek()[0] == "lang":
+                return ("literal", value, self.take()[1][1:], None)
+            if self.peek()[1] == "^^":
+                self.take()
+                return ("literal", value, None, self.term()[1])
+            return ("literal", value, None, None)
+        if kind == "number":
+            return ("literal", got, None, PREFIXES["xsd"] + ("double" if "e" in got.lower() else "decimal" if "." in got else "integer"))
+        if kind == "word" and got in ("true", "false"):
+            return ("literal", got, None, PREFIXES["xsd"] + "boolean")
+        if got == "[":
+            s = self.fresh()
+            self.statements(s)
+            self.take("]")
+            return s
+        if got == "(":
+            items = []
+            while self.peek()[1] != ")":
+                items.append(self.term())
+            self.take()
+            rdf = lambda name: ("iri", PREFIXES["rdf"] + name, None, None)
+            cells = [self.fresh() for _ in items] + [rdf("nil")]
+            for k, item in enumerate(items):
+                self.rows += [(cells[k], rdf("first"), item, None), (cells[k], rdf("rest"), cells[k + 1], None)]
+            return cells[0]
+        raise CypherError("Syntax", f"a term expected, {got} found")
+
+
+def read_turtle(spark: SparkSession, text: str) -> DataFrame:
+    """(s, p, o, g) of a Turtle document: prefixes, base, ``a``, lists by ``;`` and ``,``, blank nodes with properties, collections, literals of all forms.
+
+    A document's prefixes and brackets reach across lines, so it is parsed as a whole, on the driver; large data come as N-Triples.
+    """
     t = "struct<kind:string,value:string,lang:string,datatype:string>"
-    return spark.createDataFrame(rows, f"s {t}, p {t}, o {t}, g string")
+    return spark.createDataFrame(_Turtle(text).document(), f"s {t}, p {t}, o {t}, g string")
 
 
 def _by_subject(triples: DataFrame) -> DataFrame:

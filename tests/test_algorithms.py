@@ -6,6 +6,8 @@ from itertools import combinations
 
 import pytest
 
+from lattica.graph import CypherError, Graph
+from lattica.model import PropertyGraph
 from lattica.operators import algorithms as al
 from lattica.operators import optimize
 
@@ -186,14 +188,39 @@ def test_empty_graphs(spark):
         assert out.collect() == []
 
 
-def test_optimizers_improve():
+def test_every_optimizer_finds_the_bowl():
     import numpy as np
 
+    low, high = np.full(4, -5.0), np.full(4, 5.0)
+    seen = {}
     for name in optimize.ALGORITHMS:
-        _, best, history = optimize.minimise(optimize.FUNCTIONS["sphere"], np.full(4, -5.0), np.full(4, 5.0), name, 20, 60)
-        assert history[-1] <= history[0] and best == history[-1], name
-    assert optimize.minimise(optimize.FUNCTIONS["sphere"], np.full(4, -5.0), np.full(4, 5.0), "jaya", 20, 100)[1] < 0.1
+        x, best, history = optimize.minimise(optimize.FUNCTIONS["sphere"], low, high, name, 20, 100, seed=3)
+        assert best < 0.5 and best == history[-1] == pytest.approx(float((x**2).sum())) and all(p >= q for p, q in zip(history, history[1:], strict=False)), name
+        assert tuple(history) not in seen, (name, seen.get(tuple(history)))  # no two names are one method
+        seen[tuple(history)] = name
+    with pytest.raises(CypherError):
+        optimize.minimise(optimize.FUNCTIONS["sphere"], low, high, "nosuch")
+
+
+def test_fronts_of_several_objectives():
+    import numpy as np
+
     assert optimize.front(np.array([[1, 2], [2, 1], [2, 2]])).tolist() == [0, 1]
+    assert optimize.ranked(np.array([[3.0, 3.0], [1.0, 2.0], [2.0, 1.0]])).tolist()[-1] == 0
+    known = {"zdt1": lambda f: 1 - np.sqrt(f), "zdt2": lambda f: 1 - f**2}
+    for name in optimize.PARETO:
+        for bench, of in known.items():
+            x, v = optimize.pareto(optimize.MULTI[bench], np.zeros(6), np.ones(6), name, 40, 150, seed=2)
+            assert len(optimize.front(v)) == len(v) > 20 and (np.abs(optimize.MULTI[bench](x) - v) < 1e-12).all()
+            assert np.abs(v[:, 1] - of(v[:, 0])).mean() < 0.05, (name, bench)
+
+
+def test_solve_over_nodes_of_equal_costs(spark):
+    g = Graph(PropertyGraph.build(spark, [{"id": k, "labels": ["Item"], "cost": float(2 + k % 4), "risk": float(5 - k % 4)} for k in range(60)], []))
+    one = g.read("CALL algo.or.solve({label: 'Item', cost_property: 'cost', budget: 10.0, max_iterations: 200, algorithm: 'qojaya'}) YIELD fitness, front_size RETURN fitness, front_size").first()
+    assert 20.0 <= one["fitness"] < 21.0 and one["front_size"] == 1  # all of the budget on the cheapest: 10 * 2
+    two = g.read("CALL algo.or.solve({label: 'Item', cost_properties: ['cost', 'risk'], budget: 10.0, max_iterations: 60}) YIELD fitness, front_size, algorithm RETURN fitness, front_size, algorithm").first()
+    assert 20.0 <= two["fitness"] < 24.0 and two["front_size"] > 5 and two["algorithm"] == "nsga2"
 
 
 def test_principal_components(spark):

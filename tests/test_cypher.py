@@ -274,3 +274,39 @@ def test_hierarchies(spark):
         loop.cypher("CREATE HIERARCHY INDEX h ON ()-[:T]->()")
     g.cypher("DROP HIERARCHY INDEX h")
     assert rows(g, "SHOW HIERARCHY INDEXES") == []
+
+
+def test_hierarchy_over_a_graph_with_two_parents_is_rolled_up_once_each(spark):
+    """A diamond: d lies below b and c, both below a."""
+    nodes = [{"id": k, "labels": ["C"], "name": n, "m": m} for k, (n, m) in enumerate([("a", 1), ("b", 10), ("c", 100), ("d", 1000), ("e", 10000)])]
+    g = build(spark, nodes, [{"id": k, "src": s, "dst": d, "type": "UP"} for k, (s, d) in enumerate([(1, 0), (2, 0), (3, 1), (3, 2), (4, 3)])])
+    g.cypher("CREATE HIERARCHY INDEX h ON ()-[:UP]->() MEASURE C.m AGGREGATE sum, count")
+    assert bag(g, "MATCH (c:C) RETURN c.name, hierarchy_rollup(c, 'sum', 'h') AS s, hierarchy_rollup(c, 'count', 'h') AS n") == [("a", 11111, 5), ("b", 11010, 3), ("c", 11100, 3), ("d", 11000, 2), ("e", 10000, 1)]
+    assert rows(g, "MATCH (x:C {name: 'd'}), (y:C {name: 'e'}) RETURN hierarchy_lca(x, y) AS l") == [([3],)]
+    assert rows(g, "MATCH (x:C {name: 'b'}), (y:C {name: 'c'}) RETURN hierarchy_lca(x, y) AS l") == [([0],)]
+    with pytest.raises(CypherError):
+        rows(g, "MATCH (c:C) RETURN hierarchy_rollup(c, 'max', 'h') AS m")  # the index does not declare it
+    g.cypher("MATCH (x:C {name: 'e'})-[r:UP]->() DELETE r")
+    assert bag(g, "MATCH (c:C {name: 'a'}) RETURN hierarchy_rollup(c, 'sum', 'h') AS s") == [(1111,)]  # not from a closure of before
+    g.cypher("REBUILD HIERARCHY INDEX h")
+    assert bag(g, "MATCH (c:C {name: 'd'}) RETURN hierarchy_rollup(c, 'count', 'h') AS n") == [(1,)]
+
+
+def test_ids_reach_the_scan_as_keys(spark, data):
+    from lattica.sources.tables import shop_graph
+
+    g = Graph(shop_graph(spark, data))
+    df = g.read("MATCH (c:Customer) WHERE id(c) IN [562949953421317, 562949953421319, 5] RETURN c.c_custkey AS key")
+    assert sorted(r["key"] for r in df.collect()) == [5, 7]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "In(c_custkey, [5,7])" in plan.partition("PushedFilters")[2]
+
+
+def test_every_shortest_path_and_one_of_them(spark):
+    """Two ways of length two, one of them doubled, and a longer one."""
+    nodes = [{"id": k, "labels": ["N"], "k": k} for k in range(6)]
+    pairs = [(0, 1), (0, 2), (1, 3), (2, 3), (2, 3), (0, 4), (4, 5), (5, 3)]
+    g = build(spark, nodes, [{"id": 10 + k, "src": a, "dst": b, "type": "E"} for k, (a, b) in enumerate(pairs)])
+    q = "MATCH p = {}((a:N {{k: 0}})-[:E*]->(b:N {{k: 3}})) RETURN [x IN nodes(p) | x.k] AS ns, size(relationships(p)) AS n"
+    assert bag(g, q.format("allShortestPaths")) == [([0, 1, 3], 2), ([0, 2, 3], 2), ([0, 2, 3], 2)]
+    assert len(rows(g, q.format("shortestPath"))) == 1

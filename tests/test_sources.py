@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from lattica.graph import Graph
+from lattica.graph import CypherError, Graph
 from lattica.model import PropertyGraph
 from lattica.sources import files, rdf
 from lattica.streaming import ingest
@@ -77,6 +77,43 @@ def test_rdf(spark, tmp_path):
     assert turtle.count() == 4 and rdf.pattern(turtle, s="http://e/a").count() == 3
 
 
+def test_turtle(spark):
+    text = """@base <http://x.org/> . @prefix ex: <http://ex.org/> .
+    PREFIX f: <http://f.org/>
+    <a> ex:p "one #two" ; a ex:T , <b> . # a comment "not a literal"
+    ex:s f:q [ ex:r 1.5, -2, 3e4 ; ex:t true ] , ( "x"@en '''long "q"''' ) .
+    [ ex:z _:b.1 ] .
+    ex:e f:w "a\\"b\\u00e9"^^ex:dt ;; f:v 'single' ."""
+    rows = {(r["s"]["value"], r["p"]["value"].split("/")[-1], r["o"]["value"], r["o"]["lang"], (r["o"]["datatype"] or "").split("#")[-1]) for r in rdf.read_turtle(spark, text).collect()}
+    first = "22-rdf-syntax-ns#first"
+    assert {
+        ("http://x.org/a", "p", "one #two", None, ""), ("http://x.org/a", "22-rdf-syntax-ns#type", "http://ex.org/T", None, ""), ("http://x.org/a", "22-rdf-syntax-ns#type", "http://x.org/b", None, ""),
+        ("genid1", "r", "1.5", None, "decimal"), ("genid1", "r", "-2", None, "integer"), ("genid1", "r", "3e4", None, "double"), ("genid1", "t", "true", None, "boolean"), ("http://ex.org/s", "q", "genid1", None, ""),
+        ("genid2", first, "x", "en", ""), ("genid3", first, 'long "q"', None, ""), ("http://ex.org/s", "q", "genid2", None, ""), ("genid4", "z", "b.1", None, ""),
+        ("http://ex.org/e", "w", 'a"bé', None, "http://ex.org/dt"), ("http://ex.org/e", "v", "single", None, ""),
+    } <= rows and len(rows) == 16
+    assert rdf.read_turtle(spark, "# nothing\n").collect() == []
+    for bad in ("<a> <b> .", "<a> <b> <c>", "x:y <b> <c> .", '<a> <b> "open .', "<a> <b> [ <c> <d> ."):
+        with pytest.raises(CypherError):
+            rdf.read_turtle(spark, bad)
+
+
+def test_graph_of_triples_keeps_literals_and_tells_predicates_apart(spark):
+    t = rdf.read_turtle(spark, """@prefix a: <http://a/> . @prefix b: <http://b/> . a:x a:knows a:y ; b:knows a:z ; a:age 5 ; a:iri "odd" .""")
+    g = Graph(rdf.to_graph(t))
+    assert {tuple(r) for r in g.read("MATCH (x)-[r]->(y) RETURN type(r) AS t, y.iri AS y").collect()} == {("http://a/knows", "http://a/y"), ("http://b/knows", "http://a/z")}
+    assert [tuple(r) for r in g.read("MATCH (x {iri: 'http://a/x'}) RETURN x.age AS age").collect()] == [("5",)]
+
+
+def test_equal_rows_of_a_stream_are_relationships_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(1, 2)] * 3, "a long, b long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("a long, b long").parquet(str(tmp_path / "in"))
+    ingest.append_edges(stream, str(tmp_path / "out"), str(tmp_path / "state"), "a", "b").awaitTermination()
+    g = Graph(ingest.extended(PropertyGraph.build(spark, [{"id": k, "labels": ["N"]} for k in (1, 2)], []), "E", str(tmp_path / "out")))
+    assert g.read("MATCH (a)-[e:E]->(b) RETURN count(DISTINCT e) AS n").first()["n"] == 3
+    assert g.read("MATCH (a)-[e:E]->(b)<-[f:E]-(c) RETURN count(*) AS n").first()["n"] == 6
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, 2, "x"), (1, 3, "y")], "a long, b long, k string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("a long, b long, k string").parquet(str(tmp_path / "in"))
