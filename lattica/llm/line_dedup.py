@@ -210,7 +210,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
     """docs with ``text`` less its deleted lines, plus ``n_lines`` and ``n_deleted``.
 
     Later means a greater doc_id (null first), then the greater XXH64 of the text; rows equal in both are one
-    document and share its result. Null and empty texts stay as they are, an empty table gives an empty
+    document and share its result. Null and empty texts stay as they are, a text of any length is aligned whole, an empty table gives an empty
     one. Lines are compared without surrounding white space. Columns of the two names in ``docs`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]

@@ -53,7 +53,7 @@ def uniform(key: Column, seed: str = SEED) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = SEED) -> DataFrame:
     """docs plus ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes the document.
 
-    Null texts have no words, null sources are one source of their own (the last), repeated rows are drawn alike. An
+    Null texts have no words, a text of any length is counted whole, null sources are one source of their own (the last), repeated rows are drawn alike. An
     empty table gives an empty one. Columns of those four names in ``docs`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]

@@ -52,12 +52,21 @@ def mine(labelled: DataFrame, support: float = 0.02, confidence: float = 0.8, mo
     At least ``support`` of the labelled rows hold a rule's tokens and label, so that the number of frequent
     tokens is bounded by a URL's tokens over ``support``. A rule stays only if no rule with fewer tokens among its own
     and the same verdict is as confident. No labelled rows: no rules.
+
+    Tokens that all labelled rows hold would double the itemsets each, for rules that are all pruned: with one, a rule is as
+    confident as without it. So they are not mined; each is a rule of its own if a label's share is confident enough.
     """
-    baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
+    labelled = cut(labelled.select("tokens", "label"))
+    n = labelled.count()
+    always = [r[0] for r in labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") == n).select("t").collect()]  # of one URL at most
+    shares = labelled.groupBy("label").agg((F.count("*") / n).alias("share")).where(F.col("share") >= max(support, confidence)).collect()  # one per label
+    alone = labelled.sparkSession.createDataFrame([([t], r["label"], r["share"], r["share"]) for t in sorted(always) for r in shares], "tokens array<string>, verdict string, confidence double, support double")
+    mined = F.array_except("tokens", F.array(*[F.lit(t) for t in always]).cast("array<string>"))
+    baskets = labelled.select(F.array_union(mined, F.array(F.concat(F.lit("label="), "label"))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     target = F.element_at("consequent", 1)
     rules = rules.where(target.startswith("label=")).where(~F.exists("antecedent", lambda x: x.startswith("label="))).where(F.size("antecedent") <= most_tokens)
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(target, 7, 1000).alias("verdict"), "confidence", "support")
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(target, 7, 1000).alias("verdict"), "confidence", "support").union(alone)
     rules = cut(rules.withColumn("rule_id", F.concat_ws("\x1f", F.concat_ws("\x1e", "tokens"), "verdict")))
     # supersets meet their subsets through the inverted index of the rules themselves
     small = rules.select(F.col("rule_id").alias("s_id"), F.col("verdict"), F.col("confidence").alias("s_conf"), F.size("tokens").alias("s_n"), F.explode("tokens").alias("token"))

@@ -50,3 +50,28 @@ def test_nothing(spark):
     assert u.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
     one = u.judge(spark.createDataFrame([(1, "http://x.com/")], "page_id long, url string")).collect()
     assert one[0]["verdict"] == "allow"
+
+
+def test_rules_with_tokens_of_all_rows_equal_those_of_plain_mining(spark):
+    """Against counting all combinations of up to three tokens, with the same pruning."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(60):
+        own = {"all", "every"} | {t for t in "abcd" if rng.random() < 0.5}
+        rows.append((sorted(own), "block" if "a" in own or rng.random() < 0.7 else "allow"))
+    for rows_ in (rows, [(t, "block") for t, _ in rows[:40]] + rows[40:44]):
+        n, found = len(rows_), {}
+        tokens = sorted({x for t, _ in rows_ for x in t})
+        for k in (1, 2, 3):
+            for q in itertools.combinations(tokens, k):
+                for y in ("allow", "block"):
+                    have = [lab for t, lab in rows_ if set(q) <= set(t)]
+                    hits = have.count(y)
+                    if hits and hits / n >= 0.05 and hits / len(have) >= 0.8:
+                        found[q, y] = hits / len(have)
+        want = {(q, y): c for (q, y), c in found.items() if not any(set(p) < set(q) and z == y and d >= c for (p, z), d in found.items())}
+        got = {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in u.mine(spark.createDataFrame(rows_, "tokens array<string>, label string"), 0.05, 0.8).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
