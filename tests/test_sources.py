@@ -77,6 +77,29 @@ def test_rdf(spark, tmp_path):
     assert turtle.count() == 4 and rdf.pattern(turtle, s="http://e/a").count() == 3
 
 
+def test_snapshots_keep_definitions(spark, tmp_path):
+    g = Graph(PropertyGraph.build(spark, [{"id": k, "labels": ["P"], "name": f"p{k}", "m": k, "e": [1.0, float(k)]} for k in range(4)], [{"src": k + 1, "dst": 0, "type": "UP"} for k in range(3)]))
+    for command in ("CREATE INDEX ON :P(name)", "CREATE CONSTRAINT ON (p:P) ASSERT p.name IS UNIQUE", "CREATE VECTOR INDEX v FOR (p:P) ON (p.e) OPTIONS {dimensions: 2, similarity: 'l2'}", "CREATE HIERARCHY INDEX h ON ()-[:UP]->() MEASURE P.m AGGREGATE sum"):
+        g.cypher(command)
+    files.save_snapshot(g.current, str(tmp_path / "snap"))
+    files.export_jsonl(g.current, str(tmp_path / "lines"))
+    assert any('"tgt":' in r[0] for r in spark.read.text(str(tmp_path / "lines")).collect())
+    for back in (files.load_snapshot(spark, str(tmp_path / "snap")), files.import_jsonl(spark, str(tmp_path / "lines"))):
+        h = Graph(back)
+        for show in ("SHOW INDEXES", "SHOW CONSTRAINTS", "SHOW VECTOR INDEXES", "SHOW HIERARCHY INDEXES"):
+            assert [tuple(r) for r in h.cypher(show).collect()] == [tuple(r) for r in g.cypher(show).collect()] != []
+        assert h.read("MATCH (p:P {name: 'p0'}) RETURN hierarchy_rollup(p, 'sum', 'h') AS s").first()["s"] == 6
+        assert h.read("CALL db.index.vector.queryNodes('P', 'e', [1.0, 0.0], 1) YIELD node RETURN node.name AS n").first()["n"] == "p0"
+        with pytest.raises(CypherError):
+            h.cypher("CREATE (:P {name: 'p1'})")
+    whole = [r[0] for r in spark.read.text(str(tmp_path / "lines")).collect()]
+    spark.createDataFrame([(x,) for x in whole[:-1]], "value string").write.text(str(tmp_path / "cut"))
+    with pytest.raises(CypherError):
+        files.import_jsonl(spark, str(tmp_path / "cut"))
+    spark.createDataFrame([('{"t":"n","id":1,"labels":["A"],"props":{"x":1}}',), ('{"t":"n","id":2,"labels":["A"],"props":{}}',), ('{"t":"e","id":1,"src":1,"dst":2,"type":"R","props":{}}',), ('{"t":"other"}',)], "value string").write.text(str(tmp_path / "old"))
+    assert Graph(files.import_jsonl(spark, str(tmp_path / "old"))).read("MATCH (a)-[:R]->(b) RETURN a.x AS x").first()["x"] == 1
+
+
 def test_turtle(spark):
     text = """@base <http://x.org/> . @prefix ex: <http://ex.org/> .
     PREFIX f: <http://f.org/>
