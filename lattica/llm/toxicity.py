@@ -83,16 +83,27 @@ class Network:
             p |= {f"w{d}": draw(WIDTH, 3 * HIDDEN, s=0.3), f"b{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": draw(HIDDEN, 3 * HIDDEN, s=0.3)}
         return cls(p, kept)
 
-    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> np.ndarray:
+        """The row of e of every bucket."""
+        out = np.full(BUCKETS, len(self.kept), dtype=np.int32)
+        out[self.kept] = np.arange(len(self.kept))
+        return out
+
+    def rows(self, words: list[bytes], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows of e, starts) of the words' features."""
         bucket, start = features(words)
-        at = np.searchsorted(self.kept, bucket)
-        at[at == len(self.kept)] = 0
-        return (np.where(self.kept[at] == bucket, at, len(self.kept)) if len(self.kept) else at), start
-
-    def word_vectors(self, words: list[bytes]) -> np.ndarray:
-        row, start = self.rows(words)
-        return np.add.reduceat(self.p["e"][row], start, axis=0)
+        return (self.table() if table is None else table)[bucket], start
+
+    def word_vectors(self, words: list[bytes], table: np.ndarray | None = None) -> np.ndarray:
+        """The sum of each word's embeddings; only features that have one are fetched."""
+        row, start = self.rows(words, table)
+        out = np.zeros((len(words), WIDTH), dtype=np.float32)
+        at = np.flatnonzero(row < len(self.kept))
+        if len(at):
+            owner = np.repeat(np.arange(len(words)), np.diff(np.append(start, len(row))))[at]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            out[owner[first]] = np.add.reduceat(self.p["e"][row[at]], first, axis=0)
+        return out
 
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         """Input part of both directions' gates."""
@@ -270,7 +281,7 @@ class Scorer:
     """Scores texts with a network; keeps the gates of words it has met."""
 
     def __init__(self, net: Network, most: int = 100_000):
-        self.net, self.most = net, most
+        self.net, self.most, self.table = net, most, net.table()
         self.known: dict[bytes, int] = {}
         self.gates = np.zeros((1 << 14, 6 * HIDDEN), dtype=np.float32)
 
@@ -287,7 +298,7 @@ class Scorer:
                 self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
             for k in range(0, len(new), 20_000):
                 part = new[k : k + 20_000]
-                self.gates[first + k : first + k + len(part)] = self.net.gates(self.net.word_vectors(part))
+                self.gates[first + k : first + k + len(part)] = self.net.gates(self.net.word_vectors(part, self.table))
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
