@@ -9,7 +9,7 @@ documents without the label.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER_AZ, in_arrow, per_process, slices, texts_of
+from lattica.llm.common import LOWER_AZ, in_arrow, per_process, release, slices, texts_of
 
 WINDOW, STRIDE = 32, 24
 BUCKETS, WIDTH, HIDDEN = 1 << 18, 16, 8
@@ -54,6 +54,17 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[keep], np.cumsum(count) - count
 
 
+def features_in_blocks(words: list[bytes], block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """As ``features``, a block of words at a time, as its working arrays take some hundred bytes a character."""
+    buckets, starts, n = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], 0
+    for k in range(0, len(words), block):
+        bucket, start = features(words[k : k + block])
+        buckets.append(bucket.astype(np.int32))
+        starts.append(start + n)
+        n += len(bucket)
+    return np.concatenate(buckets), np.concatenate(starts)
+
+
 def windows(count: int) -> list[tuple[int, int]]:
     """(first word, end) of the overlapping windows over ``count`` words."""
     return [(k, min(count, k + WINDOW)) for k in range(0, max(1, count - (WINDOW - STRIDE)), STRIDE)] if count else []
@@ -217,32 +228,42 @@ def telling(bucket: np.ndarray, start: np.ndarray, index: list[list[np.ndarray]]
     return np.flatnonzero((held.sum(axis=0) >= LEAST_HELD) & (np.abs(odds) > LEAST_ODDS * spread))
 
 
-def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int = 7, rate: float = 0.01) -> Network:
-    """Fit a network to (label, windows of words) of each document. Without both labels it scores everything as the only one."""
+def train(docs: Iterable[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int = 7, rate: float = 0.01) -> Network:
+    """Fit a network to (label, windows of words) of each document. Without both labels it scores everything as the only one.
+
+    docs is read once: each document's words become numbers before the next one's are split, as the driver runs this.
+    """
     rng = np.random.default_rng(seed)
-    docs = [(y, [w for w in ws if w]) for y, ws in docs]
-    docs = [(y, ws) for y, ws in docs if ws]
-    labels = np.array([y for y, _ in docs], dtype=np.int64)
-    if not len(docs) or labels.min() == labels.max():
+    number: dict[bytes, int] = {}
+    index, own = [], []
+    for y, ws in docs:
+        wins = [np.array([number.setdefault(w, len(number)) for w in win], dtype=np.int32) for win in ws if win]
+        if wins:
+            index.append(wins)
+            own.append(y)
+    labels = np.array(own, dtype=np.int64)
+    if not len(labels) or labels.min() == labels.max():
         net = Network.fresh(np.zeros(0, dtype=np.int64), seed)
         net.p["o"][:] = 0
-        net.p["c"][:] = 4.0 if len(docs) and labels[0] else -4.0
+        net.p["c"][:] = 4.0 if len(labels) and labels[0] else -4.0
         return net
-    number: dict[bytes, int] = {}
-    index = [[np.array([number.setdefault(w, len(number)) for w in win]) for win in ws] for _, ws in docs]
-    kept = telling(*features(list(number)), index, labels)
+    bucket, start = features_in_blocks(list(number))
+    del number
+    kept = telling(bucket, start, index, labels)
     net = Network.fresh(kept, seed)
-    row, start = net.rows(list(number))
+    row = net.table()[bucket]
+    del bucket
     # features without an embedding go, but for the word itself, so that no word is without any
     stays = row < len(kept)
     stays[np.append(start[1:], len(row)) - 1] = True
     count = np.add.reduceat(stays.astype(np.int64), start)
     row, start, ends = row[stays], np.cumsum(count) - count, np.cumsum(count)
-    flat, owner = [w for ws in index for w in ws], np.repeat(np.arange(len(docs)), [len(ws) for ws in index])
+    flat, owner = [w for ws in index for w in ws], np.repeat(np.arange(len(index)), [len(ws) for ws in index])
     first = np.concatenate([[0], np.cumsum([len(ws) for ws in index])])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     grid, sizes = lay_out(flat)
+    del flat, index
     balance = {1: 0.5 * len(labels) / labels.sum(), 0: 0.5 * len(labels) / (len(labels) - labels.sum())}
     balance = {y: b**0.5 for y, b in balance.items()}  # half-way between the labels' shares and even ones
     for turn in range(rounds):
@@ -251,7 +272,7 @@ def train(docs: list[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int
             chosen = np.concatenate([chance, rng.integers(first[:-1], first[1:])])
         else:
             gates = net.gates(np.add.reduceat(net.p["e"][row], start, axis=0))
-            score = np.concatenate([net.logits(gates, grid[:, k : k + 4096], sizes[k : k + 4096]) for k in range(0, len(flat), 4096)])
+            score = np.concatenate([net.logits(gates, grid[:, k : k + 4096], sizes[k : k + 4096]) for k in range(0, len(sizes), 4096)])
             chosen = np.concatenate([np.lexsort((score, owner))[first[1:] - 1], chance[labels == 0]])
         for _ in range(max(1, 1500 // max(1, len(chosen)))):  # few documents: more passes a round
             chosen = rng.permutation(chosen)
@@ -328,10 +349,10 @@ class Scorer:
         return sigmoid(best.astype(np.float64))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = 2400, most_windows: int = 400) -> list[tuple[int, list[list[bytes]]]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = 2400, most_windows: int = 400) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Training documents: at most ``most`` labelled rows, by the hash of their id, with at most ``most_windows`` windows each, spread evenly.
 
-    These bounds hold for training alone. A document with several labels counts as the greatest; null labels don't count.
+    Windows are split into words as the documents are asked for. These bounds hold for training alone. A document with several labels counts as the greatest; null labels don't count.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).where("doc_id is not null")
     # as many of the rarer label as fit into half of the bound
@@ -352,7 +373,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = 2400, mos
 
     rows = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), run, "doc_id long, y int, wins array<binary>").collect()  # chosen: ``most`` rows at most
     rows.sort(key=lambda r: (r["doc_id"], len(r["wins"]), b"".join(r["wins"][:1])))
-    return [(r["y"], [bytes(w).split() for w in r["wins"]]) for r in rows]
+    return ((r["y"], [bytes(w).split() for w in r["wins"]]) for r in rows)
 
 
 def score_texts(docs: DataFrame, net: Network, text: bool = False) -> DataFrame:
@@ -378,4 +399,6 @@ def score_texts(docs: DataFrame, net: Network, text: bool = False) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2400) -> Network:
     """A network trained on labels(doc_id, label) of docs(doc_id, text)."""
-    return train(sample(docs, labels, label, most=most))
+    net = train(sample(docs, labels, label, most=most))
+    release()  # the driver goes on with other stages
+    return net

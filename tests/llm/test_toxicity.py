@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -125,3 +126,20 @@ def test_one_label_none_and_nothing(spark):
         net = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert all((r["score"] < 0.3) == low for r in t.score_texts(docs, net).collect())
     assert t.score_texts(docs.limit(0), t.Network.fresh(np.arange(0))).collect() == []
+
+
+def test_training_holds_numbers_and_not_words():
+    """The driver trains: of 200,000 different words it holds numbers and rows, not copies and working arrays of all at once."""
+    docs = ((k % 2, [[b"word%06d" % (32 * (20 * k + w) + i) for i in range(32)] for w in range(20)]) for k in range(310))
+    tracemalloc.start()
+    t.train(docs, rounds=0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6  # all at once: 287 MB
+
+
+def test_blocks_of_words_have_the_same_features():
+    some = [b"w%d" % (k * k) for k in range(50)]
+    for got, want in zip(t.features_in_blocks(some, 7), t.features(some), strict=True):
+        assert got.tolist() == want.tolist()
+    assert [len(x) for x in t.features_in_blocks([])] == [0, 0]
