@@ -229,7 +229,8 @@ def telling(bucket: np.ndarray, start: np.ndarray, index: list[list[np.ndarray]]
 
 
 def train(docs: Iterable[tuple[int, list[list[bytes]]]], rounds: int = 12, seed: int = 7, rate: float = 0.01) -> Network:
-    """Fit a network to (label, windows of words) of each document. Without both labels it scores everything as the only one.
+    """Fit a network to (label, windows of words) of each document. Without both labels it scores everything as the only one, without a
+    feature that tells them apart by their share.
 
     docs is read once: each document's words become numbers before the next one's are split, as the driver runs this.
     """
@@ -251,6 +252,10 @@ def train(docs: Iterable[tuple[int, list[list[bytes]]]], rounds: int = 12, seed:
     del number
     kept = telling(bucket, start, index, labels)
     net = Network.fresh(kept, seed)
+    if not len(kept):  # all words look alike, so the length of a window is all that could be learned
+        net.p["o"][:] = 0
+        net.p["c"][:] = np.log(labels.mean() / (1 - labels.mean()))
+        return net
     row = net.table()[bucket]
     del bucket
     # features without an embedding go, but for the word itself, so that no word is without any

@@ -143,3 +143,10 @@ def test_blocks_of_words_have_the_same_features():
     for got, want in zip(t.features_in_blocks(some, 7), t.features(some), strict=True):
         assert got.tolist() == want.tolist()
     assert [len(x) for x in t.features_in_blocks([])] == [0, 0]
+
+
+def test_the_length_of_a_window_is_not_learned():
+    """Words that don't tell the labels apart give every text the share of the label, however short its last window is."""
+    rows = [(int(k == 3), [b" ".join(b"u%d" % (1000 * k + i) for i in range(a, b)).split() for a, b in t.windows(n)]) for k, n in enumerate((5000, 30, 5006, 60))]
+    got = t.Scorer(t.train(rows)).scores([b"", b"a b c", b"u1 " * 60, b"u1 " * 5006])
+    assert np.allclose(got, 0.25, atol=1e-6)
