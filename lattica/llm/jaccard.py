@@ -1,13 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands name candidates, SimHash rings prune them, exact sets decide.
-
-A text is the set of its shingles (XXH64). Texts with equal sets are one node. Each of 25 bands hashes five minima of
-the set, so two sets of similarity s share a bucket with probability 1 - (1 - s^5)^25: at 0.8 one pair in 20,000 is
-missed, fewer above. First each bucket's least node is compared with the others; then the pairs of a bucket that are still apart
-are, within tiles of the bucket, which give back a forest and never the pairs. So a bucket of alike texts costs n - 1 comparisons, and nothing that shares
-a bucket is left out, however full the bucket is. Before sets are fetched, the pigeonring filter of the SimHash operator
-drops candidates: sets of similarity 0.8 differ in about ten bits of their SimHash, others in about 32; the budget of BITS
-is some five standard deviations above the first. Sketches of a byte for each minimum then drop most pairs whose similarity is
-below 0.6, four standard deviations below what 0.8 gives. Each comparison left intersects the whole sets.
+"""Near-duplicates by the Jaccard similarity of word shingles: the SimHash operator's rings name candidates, exact sets decide.
+
+A text is the set of its shingles (XXH64). Texts with equal sets are one node. A set's code is 20 SimHash fingerprints of 64 bits, each a ring of
+five segments. Two sets meet in the bucket of every segment that they have equal; chains from it keep the budgets of the pigeonring
+filter, 3 bits a segment, or the pair is dropped (lattica.llm.simhash.candidates). Sets of similarity 0.8 differ in about 9.7 of 64 bits, so they
+share some 12 of their 100 buckets there; others differ in about 32. What candidates reach is a group. Within tiles of a group
+the sizes and all 1,280 bits drop pairs and each comparison left intersects the whole sets; a tile gives back a forest and never the pairs. Nothing
+that shares a bucket is left out, however full the bucket or large the group is.
 """
 
 from __future__ import annotations
@@ -20,16 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import LOWER_AZ, cut, groups_in, in_arrow, slices, texts_of
-from lattica.llm.components import components
+from lattica.llm.components import joined
 from lattica.llm.line_dedup import NO_ID
-from lattica.llm.simhash import majority, ring
+from lattica.llm.simhash import RING_BITS, RINGS, candidates, code
 
-BANDS, ROWS, BITS = 25, 5, 26
-#: Minima of 125 that sets must agree in to be compared: at a similarity of 0.8 they agree in 100, give or take 4.5.
-LEAST = 82
-#: Sets of a bucket that one task compares with as many others.
+#: Bits of 64 in the first ring and of 1,280 in all that codes may differ in for their sets to be compared: at a similarity
+#: of 0.8 they differ in 9.7, give or take 2.9, and in 194, give or take 13.
+BITS, MOST = 26, RINGS * RING_BITS
+#: Sets of a group that one task compares with as many others.
 TILE = 512
 SIZE = 5
+#: Shingles of the least set that can be as similar to another one: four of five.
+SMALLEST = 4
+#: MinHash bands and sketches, by which the sets can be estimated; the near-duplicate stage takes neither. Minima that sketches must agree in.
+BANDS, ROWS, LEAST = 25, 5, 82
 #: One odd factor and one mask of each minimum. They work on half of a hash, which processors multiply several at a time.
 _rng = np.random.default_rng(2)
 BY = _rng.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -81,24 +83,23 @@ def sketch(least: np.ndarray) -> bytes:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(id, version, node, n, fp, bands, sketch) of every row of docs(id, version, text); ``node`` names the set, ``n`` is its size, ``fp`` its SimHash."""
+    """(id, version, node, n, code) of every row of docs(id, version, text); ``node`` names the set, ``n`` is its size, ``code`` its SimHash rings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: list[list] = [[], [], [], [], []]
+                node, n, codes = [], [], []
                 for text in texts_of(batch.column("text")):
                     own = shingles(text)
-                    least = minima(own)
-                    for o, x in zip(out, (xxh64_intdigest(own.tobytes()), len(own), majority(own), buckets(least) if len(own) else [], sketch(least)), strict=True):
-                        o.append(x)
-                signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (out[0], out[2])]
-                columns = [batch.column("id"), batch.column("version"), signed[0], pa.array(out[1], pa.int32()), signed[1], pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "node", "n", "fp", "bands", "sketch"])
+                    node.append(xxh64_intdigest(own.tobytes()))
+                    n.append(len(own))
+                    codes.append(code(own).tobytes())
+                columns = [batch.column("id"), batch.column("version"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "node", "n", "code"])
 
-    return in_arrow(docs.select("id", "version", "text"), run, "id long, version long, node long, n int, fp long, bands array<long>, sketch binary")
+    return in_arrow(docs.select("id", "version", "text"), run, "id long, version long, node long, n int, code binary")
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -125,51 +126,41 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("node", "text"), run, "node long, own array<long>")
 
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs(u, v) whose sets have a Jaccard similarity of 0.8 or more; texts(node, text) holds a row of each node."""
-    used = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = cut(sets_of(texts.join(used, "node", "left_semi").dropDuplicates(["node"])))
-    a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    # i / (a + b - i) >= 4 / 5, in whole numbers
-    return cut(pairs.join(a, "u").join(b, "v").where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
+def linked_within(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): edges that join similar sets of a group, by rows(group, node, n, code, parts) and texts(node, text); of each group a forest, never its pairs.
 
-
-def linked_within(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): edges that join the roots of similar sets in a bucket, by rows(bucket, node, n, fp, root, parts); of each bucket a forest, never its pairs.
-
-    A bucket is dealt into ``parts`` blocks that meet pair by pair, so none is one task's. Pairs of one root are not looked at; the others
-    pass the sizes, the ring's budget and the sketches before their sets are intersected.
+    A group is dealt into ``parts`` blocks that meet pair by pair, so none is one task's. Pairs that are joined already are not looked at; the
+    others pass the sizes and all bits of their codes before their sets are intersected.
     """
-    used = rows.select("node").distinct()
-    sets = sets_of(texts.join(used, "node", "left_semi").dropDuplicates(["node"])).join(nodes.select("node", "sketch"), "node")
+    sets = sets_of(texts.dropDuplicates(["node"]))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = rows.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.least("part", "other").cast("long") * (1 << 31) + F.greatest("part", "other")
-    dealt = dealt.select("bucket", tile.alias("tile"), "node", "n", "fp", "root", (F.col("part") > F.col("other")).alias("right")).join(sets, "node")
+    dealt = dealt.select("group", tile.alias("tile"), "node", "n", "code", (F.col("part") > F.col("other")).alias("right")).join(sets, "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups_in(batches, ["bucket", "tile"]):
-            bucket, tiles, node, n, fp, root, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "tile", "node", "n", "fp", "root", "right"))
-            column, sketches = batch.column("own"), batch.column("sketch").to_pylist()
+        for batch in groups_in(batches, ["group", "tile"]):
+            group, tiles, node, n, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "tile", "node", "n", "right"))
+            column, codes = batch.column("own"), batch.column("code").to_pylist()
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            begin = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (tiles[1:] != tiles[:-1])])).tolist()
+            begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (tiles[1:] != tiles[:-1])])).tolist()
             u: list[int] = []
             v: list[int] = []
             for low, high in zip(begin, [*begin[1:], len(node)], strict=True):
-                byte = np.frombuffer(b"".join(sketches[low:high]), dtype=np.uint8).reshape(high - low, -1)
-                of, size, side = root[low:high].copy(), n[low:high], right[low:high]
+                bits = np.frombuffer(b"".join(codes[low:high]), dtype=np.uint64).reshape(high - low, -1)
+                of, size, side = np.arange(high - low), n[low:high], right[low:high]
                 within = int(tiles[low]) >> 31 == int(tiles[low]) & ((1 << 31) - 1)
                 for i in range(high - low - 1):
                     j = np.flatnonzero(of[i + 1 :] != of[i]) + i + 1
                     if not within:
                         j = j[side[j] != side[i]]
                     j = j[5 * np.minimum(size[j], size[i]) >= 4 * np.maximum(size[j], size[i])]
-                    j = j[np.bitwise_count((fp[low + j] ^ fp[low + i]).view(np.uint64)) <= BITS]
-                    j = j[(byte[j] == byte[i]).sum(axis=1) >= LEAST] if len(j) else j
+                    j = j[np.bitwise_count(bits[j, 0] ^ bits[i, 0]) <= BITS]
+                    j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= MOST] if len(j) else j
                     for k in j.tolist():
                         if of[k] != of[i]:
                             a, b = (flat[ends[low + x] : ends[low + x + 1]] for x in (i, k))
+                            # i / (a + b - i) >= 4 / 5, in whole numbers
                             if 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)):
                                 of[of == of[k]] = of[i]
                                 u.append(int(node[low + i]))
@@ -177,28 +168,18 @@ def linked_within(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return in_arrow(dealt.repartition(parts, "bucket", "tile").sortWithinPartitions("bucket", "tile"), link, "u long, v long")
+    return in_arrow(dealt.repartition(parts, "group", "tile").sortWithinPartitions("group", "tile"), link, "u long, v long")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """(id, version) of the least row of each component of docs(id, version, text). NO_ID comes last."""
     late = (F.col("id") == NO_ID).alias("late")
-    nodes = prints(docs).groupBy("node").agg(F.min(F.struct(late, "id", "version", "n", "fp", "bands", "sketch")).alias("least"))
+    nodes = prints(docs).groupBy("node").agg(F.min(F.struct(late, "id", "version", "n", "code")).alias("least"))
     nodes = cut(nodes.select("node", "least.*"))
-    texts = docs.join(nodes.where("n > 0").select("id", "version", "node"), ["id", "version"]).select("node", "text")
-    rows = nodes.select("node", "n", "fp", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("node", "n", "fp")).alias("head"), F.count("*").alias("many")).where("many > 1").select("bucket", "head")
-    rows = cut(rows.join(cut(heads), "bucket"))
-    # sets of other sizes cannot be as similar
-    near = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & ring(F.col("fp").bitwiseXOR(F.col("fp_v")), BITS)
-    stars = rows.where(F.col("node") != F.col("head.node")).select(F.col("head.node").alias("u"), F.col("node").alias("v"), "n", "fp", F.col("head.n").alias("m"), F.col("head.fp").alias("fp_v"))
-    stars = cut(plausible(stars.where(near).select("u", "v").distinct(), nodes))
-    first = cut(components(alike(stars, texts)))
-    rooted = rows.select("bucket", "node", "n", "fp").join(first.withColumnRenamed("root", "r"), "node", "left").select("bucket", "node", "n", "fp", F.coalesce("r", "node").alias("root"))
-    apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("low < high").select("bucket", "parts")
-    left = cut(rooted.join(apart, "bucket"))
-    more = cut(linked_within(left, nodes, texts))
-    linked = first if more.isEmpty() else components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    linked = linked.withColumnRenamed("node", "of")
-    groups = nodes.join(linked, nodes["node"] == linked["of"], "left").groupBy(F.coalesce("root", "node").alias("root"))
-    return groups.agg(F.min(F.struct("late", "id", "version")).alias("least")).select("least.id", "least.version")
+    groups = cut(joined(candidates(nodes.where(F.col("n") >= SMALLEST).select("node", "code"))).withColumnRenamed("root", "group"))
+    parts = cut(groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")))
+    rows = cut(nodes.join(groups, "node").join(parts, "group"))
+    texts = docs.join(rows.select("id", "version", "node"), ["id", "version"]).select("node", "text")
+    linked = joined(linked_within(rows.select("group", "node", "n", "code", "parts"), texts)).withColumnRenamed("node", "of")
+    named = nodes.join(linked, nodes["node"] == linked["of"], "left").groupBy(F.coalesce("root", "node").alias("root"))
+    return named.agg(F.min(F.struct("late", "id", "version")).alias("least")).select("least.id", "least.version")

@@ -80,3 +80,17 @@ def test_rows_without_an_id_and_rows_that_share_one_stay_apart(spark):
     for given in (rows, rows[::-1]):
         got = sorted(((r["doc_id"], r["text"] or "", r["source"]) for r in corpus_pipeline.drop_near(spark, documents(spark, given), "").collect()), key=str)
         assert got == sorted([(None, own[0], "s"), (None, own[1], "s"), (4, own[2], "a"), (4, own[3], "s"), (9, own[4], "s"), (None, "", "s")], key=str)
+
+
+def test_the_rings_name_all_candidates(spark, monkeypatch):
+    """The stage compares what the SimHash operator names and nothing else."""
+    rows, seen = near_rows(), []
+    monkeypatch.setattr(jaccard, "candidates", lambda codes: seen.append(codes.columns) or codes.selectExpr("node as u", "node as v").limit(0))
+    got = corpus_pipeline.drop_near(spark, documents(spark, rows), "").collect()
+    assert seen == [["node", "code"]] and len(got) == len({frozenset(brute(t)) for _, t in rows})
+
+
+def test_groups_of_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    rows = near_rows()
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, documents(spark, rows), "").collect()) == brute_kept(rows)

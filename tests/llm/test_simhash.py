@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lattica.llm import jaccard, simhash
+from lattica.llm.components import joined
 from tests.llm.helpers import documents, words
 
 
@@ -143,3 +144,61 @@ def test_similar_sets_stay_within_the_wide_budget():
             far.append((simhash.majority(a) ^ simhash.majority(b)).bit_count())
             apart.append((simhash.majority(a) ^ simhash.majority(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).bit_count())
         assert max(far) <= jaccard.BITS and np.mean(np.array(apart) > jaccard.BITS) > 0.8
+
+
+def test_codes_against_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 4, 255, 256, 5000):
+        own = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        got = simhash.code(own)
+        assert simhash.code(own, 510).tolist() == got.tolist() and got.dtype == np.uint64
+        for k in (0, 7, simhash.RINGS - 1):
+            x = (own ^ simhash.MIX[k]) * simhash.BY[k]
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            assert int(got[k]) == simhash.majority(x ^ (x >> np.uint64(29)))
+
+
+def reached(edges):
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in root}
+
+
+def test_candidates_are_what_meets_and_keeps_the_chains(spark):
+    """Against every pair, bucket by bucket; small buckets, buckets above FEW and buckets dealt out in blocks alike."""
+    rng = np.random.default_rng(9)
+    flips = lambda share: np.packbits(rng.random((simhash.RINGS, 64)) < share, axis=1).view(np.uint64)[:, 0]
+    base = [flips(0.5) for _ in range(9)]
+    codes = [b ^ flips(0.1 if k % 2 else 0.3) for b in base[:8] for k in range(8)] + [base[8] ^ flips(0.04) for _ in range(150)]
+    want = []
+    for i, a in enumerate(codes):
+        for j, b in enumerate(codes[:i]):
+            x = a ^ b
+            bits = np.bitwise_count(x)
+            for k in range(simhash.RINGS):
+                if bits[k] <= simhash.RING_BITS and int(bits[k]) + int(bits[(k + 1) % simhash.RINGS]) <= 2 * simhash.RING_BITS:
+                    if any(int(x[k]) & simhash.MASKS[s] == 0 and len(simhash.near(np.uint64(0), x[k : k + 1], s, simhash.RING_BITS)) for s in range(5)):
+                        want.append((i, j))
+                        break
+    rows = spark.createDataFrame([(k, bytearray(c.astype("<u8").tobytes())) for k, c in enumerate(codes)], "node long, code binary")
+    for block in (16_384, 20):
+        got = [(r["u"], r["v"]) for r in simhash.candidates(rows, block).collect()]
+        assert reached(got) == reached(want) and len(got) < len(want)
+    assert simhash.candidates(rows.limit(0)).collect() == []
+
+
+def test_components_by_one_task_and_by_several(spark):
+    rng = np.random.default_rng(10)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2)) if a != b] + [(k, k + 1) for k in rng.permutation(np.arange(1000, 1400)).tolist()]
+    table = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    for most in (1 << 20, 200):
+        assert {r["node"]: r["root"] for r in joined(table, most).collect()} == reached(edges)
+    assert joined(table.limit(0)).collect() == []
