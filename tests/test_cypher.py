@@ -310,3 +310,25 @@ def test_every_shortest_path_and_one_of_them(spark):
     q = "MATCH p = {}((a:N {{k: 0}})-[:E*]->(b:N {{k: 3}})) RETURN [x IN nodes(p) | x.k] AS ns, size(relationships(p)) AS n"
     assert bag(g, q.format("allShortestPaths")) == [([0, 1, 3], 2), ([0, 2, 3], 2), ([0, 2, 3], 2)]
     assert len(rows(g, q.format("shortestPath"))) == 1
+
+
+def test_a_path_that_meets_itself_starts_where_rows_do_not_multiply(spark, data, monkeypatch):
+    from lattica.plans.lower import Lowerer
+    from lattica.sources.tables import shop_graph
+
+    seen, plain = [], Lowerer.edge_rows
+    monkeypatch.setattr(Lowerer, "edge_rows", lambda self, rel, *rest: seen.extend(rel.types) or plain(self, rel, *rest))
+    text = "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation)<-[:LIVES_IN]-(c:Customer)-[:PLACED]->(o:Order)-[:SUPPLIED_BY]->(s) RETURN count(*) AS n"
+    Graph(shop_graph(spark, data)).read(text)
+    assert seen == ["SUPPLIED_BY", "PLACED", "LIVES_IN", "BASED_IN"]
+
+
+def test_circles_with_labels_properties_and_loops(spark):
+    pairs = [(0, 1, "A"), (1, 2, "B"), (2, 0, "C"), (1, 3, "B"), (3, 0, "C"), (3, 4, "C"), (2, 2, "B"), (0, 0, "A")]
+    g = build(spark, [{"id": k, "labels": ["N", "Even"] if k % 2 == 0 else ["N"], "k": k} for k in range(5)], [{"src": a, "dst": b, "type": t} for a, b, t in pairs])
+    assert bag(g, "MATCH (x)-[:A]->(y)-[:B]->(z)-[:C]->(x:Even) RETURN x.k AS x, y.k AS y, z.k AS z") == [(0, 1, 2), (0, 1, 3)]
+    assert bag(g, "MATCH (x {k: 0})-[:A]->(y)-[:B]->(z {k: 3})-[:C]->(x) RETURN y.k AS y") == [(1,)]
+    assert bag(g, "MATCH p = (x)-[:A]->(y)-[:B]->(z:Even)-[:C]->(x) WHERE id(x) = 0 RETURN [n IN nodes(p) | n.k] AS ns") == [([0, 1, 2, 0],)]
+    assert bag(g, "MATCH (x)-[:A|B]->(x) RETURN x.k AS x") == [(0,), (2,)]
+    assert bag(g, "MATCH (x)-[e]->(y)-[f]->(x) RETURN x.k AS x, y.k AS y") == []
+    assert bag(g, "MATCH (x:Odd)-[:A]->(y)-[:B]->(z)-[:C]->(x) RETURN x.k AS x") == []
