@@ -332,3 +332,23 @@ def test_circles_with_labels_properties_and_loops(spark):
     assert bag(g, "MATCH (x)-[:A|B]->(x) RETURN x.k AS x") == [(0,), (2,)]
     assert bag(g, "MATCH (x)-[e]->(y)-[f]->(x) RETURN x.k AS x, y.k AS y") == []
     assert bag(g, "MATCH (x:Odd)-[:A]->(y)-[:B]->(z)-[:C]->(x) RETURN x.k AS x") == []
+
+
+def test_many_rows_at_few_nodes_are_joined_in_blocks(spark, data, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lattica import catalogue
+    from lattica.plans import lower
+
+    one = spark.range(300).select((F.col("id") % 2).alias("a"), F.col("id").alias("x"))
+    two = spark.range(200).select((F.col("id") % 3).alias("b"), F.col("id").alias("y"))
+    got = lower.in_blocks(one, "a", ["x"], two, "b", ["y"], 16)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, one.join(two, F.col("a") == F.col("b")).collect()))
+    share = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(share) < sum(share) / 4
+    run = lambda: sorted(map(tuple, catalogue.QUERIES["multi_match"](spark, data).collect()))
+    plain = run()
+    monkeypatch.setattr(lower.Lowerer, "blocks", lambda *_: 7)
+    assert run() == plain and plain
