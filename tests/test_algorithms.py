@@ -5,6 +5,7 @@ from collections import Counter, defaultdict, deque
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.graph import CypherError, Graph
 from lattica.model import PropertyGraph
@@ -232,3 +233,36 @@ def test_principal_components(spark):
     out = al.principal_components(df, ["a", "b", "c"], 2).collect()
     values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     assert [r["explained"] for r in out] == pytest.approx(list(values[:2] / values.sum()))
+
+
+def test_co_purchase_deals_more_rows_to_more_partitions(spark, data, monkeypatch):
+    from lattica import model
+    from lattica.sources import tables
+
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    seen = []
+    for piece in (rows, 1000):
+        monkeypatch.setattr(model, "PIECE", piece)
+        pairs = tables.co_purchase(spark, data, 1)
+        seen.append((pairs.rdd.getNumPartitions(), sorted(map(tuple, pairs.collect()))))
+    assert seen[0][1] == seen[1][1]
+    assert seen[1][0] == 2 * -(-rows // 1000) > seen[0][0]
+
+
+def test_small_frontiers_travel_and_large_ones_meet_as_well(spark, monkeypatch):
+    from lattica import model
+
+    v, e = random_graph(7, 30, 70)
+    fv, fe = frames(spark, v, [(a, b, float(w)) for a, b, w in e])
+    arcs = spark.range(1000).select((F.col("id") % 50).alias("src"), (F.col("id") % 70).alias("dst"))
+    few = spark.range(3).withColumnRenamed("id", "n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are large
+    try:
+        plan = model.meeting(few, "n", arcs, "src", 3)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = lambda: (sorted(map(tuple, al.distances(fv, fe, 0, True).collect())), al.cheapest_path(fv, fe, 0, 7, True).collect())
+    plain = found()
+    monkeypatch.setattr(model, "LIGHT", 0)
+    assert found() == plain
