@@ -352,3 +352,19 @@ def test_many_rows_at_few_nodes_are_joined_in_blocks(spark, data, monkeypatch):
     plain = run()
     monkeypatch.setattr(lower.Lowerer, "blocks", lambda *_: 7)
     assert run() == plain and plain
+
+
+def test_frontiers_of_levels_are_counted_and_meet_the_relationships(spark, monkeypatch):
+    from lattica import model
+    from lattica.operators import traversal
+
+    nodes = [{"id": k, "labels": ["N"], "k": k} for k in range(8)]
+    g = build(spark, nodes, [{"id": 20 + k, "src": a, "dst": b, "type": "E"} for k, (a, b) in enumerate([(0, 1), (0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 1), (6, 7)])])
+    seen, plain = [], traversal.meeting
+    monkeypatch.setattr(traversal, "meeting", lambda few, n, many, a, rows: seen.append((few.count(), rows)) or plain(few, n, many, a, rows))
+    q = "MATCH (a:N {k: 0})-[:E*]->(b:N) RETURN b.k AS k"
+    got = bag(g, q)
+    assert got == [(1,), (2,), (3,), (4,), (5,)]
+    assert seen == [(1, 1), (2, 2), (1, 1), (1, 1), (1, 1)]
+    monkeypatch.setattr(model, "LIGHT", 0)
+    assert bag(g, q) == got
