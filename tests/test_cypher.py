@@ -368,3 +368,19 @@ def test_frontiers_of_levels_are_counted_and_meet_the_relationships(spark, monke
     assert seen == [(1, 1), (2, 2), (1, 1), (1, 1), (1, 1)]
     monkeypatch.setattr(model, "LIGHT", 0)
     assert bag(g, q) == got
+
+
+def test_shortest_paths_meet_relationships_by_small_or_large_frontiers(spark, monkeypatch):
+    from lattica import model
+    from lattica.operators import traversal
+
+    nodes = [{"id": k, "labels": ["N"], "k": k} for k in range(6)]
+    g = build(spark, nodes, [{"id": 10 + k, "src": a, "dst": b, "type": "E"} for k, (a, b) in enumerate([(0, 1), (0, 2), (1, 3), (2, 3), (2, 3), (4, 3), (5, 4), (1, 1)])])
+    seen, plain = [], traversal.meeting
+    monkeypatch.setattr(traversal, "meeting", lambda few, n, many, a, rows: seen.append((few.count(), rows)) or plain(few, n, many, a, rows))
+    q = "MATCH p = allShortestPaths((a:N {k: 0})-[:E*]-(b:N {k: 4})) RETURN [x IN nodes(p) | x.k] AS ns, size(relationships(p)) AS n"
+    got = bag(g, q)
+    assert got == [([0, 1, 3, 4], 3), ([0, 2, 3, 4], 3), ([0, 2, 3, 4], 3)]
+    assert seen == [(1, 1), (2, 2), (1, 1)]
+    monkeypatch.setattr(model, "LIGHT", 0)
+    assert bag(g, q) == got
